@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.llm import chat, mixing, quality, secrets
+from shapeloom.llm import chat, mixing, quality, secrets, tokens
 from shapeloom.llm.common import documents
 
 
@@ -33,12 +33,22 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(probe)))
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.encoded(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict:
     return {
         "op2_mixing": op2_mixing,
         "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
         "op6_chat": op6_chat,
+        "op9_tokens": op9_tokens,
     }
 
 
