@@ -99,6 +99,8 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and all other ASCII characters that are neither letters nor digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd multiplier of the rolling hash and a table that spreads byte values over 64 bits.
@@ -138,13 +140,16 @@ class Block:
     def __init__(self, buf: np.ndarray, off: np.ndarray, first: int):
         self.buf, self.off, self.first, self.n = buf, off, first, len(off) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words, and for each text the index of its first word (n + 1 values)."""
+    def words(self, gaps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words, and for each text the index of its first word (n + 1 values).
+
+        ``gaps``: for each byte value, whether it separates words; white space by default.
+        """
         buf, off = self.buf, self.off
         if not len(buf):
             z = np.zeros(0, np.int64)
             return z, z, np.zeros(self.n + 1, np.int64)
-        word = ~_WS[buf]
+        word = ~(_WS if gaps is None else gaps)[buf]
         inside = off[(off > 0) & (off < len(buf))]
         before = np.empty_like(word)
         before[0] = False

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.llm import chat, mixing, quality, secrets, tokens
-from shapeloom.llm.common import documents
+from shapeloom.llm import chat, decontaminate, mixing, quality, secrets, tokens, toxicity
+from shapeloom.llm.common import documents, fold_of
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(probe)))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -42,13 +46,22 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(fold_of(F.col("doc_id"), 5) != 0)))
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", toxicity.predicted(F.col("score")).alias("predicted"))
+
+
 def queries() -> dict:
     return {
         "op2_mixing": op2_mixing,
         "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
         "op6_chat": op6_chat,
+        "op7_decontaminate": op7_decontaminate,
         "op9_tokens": op9_tokens,
+        "op10_toxicity": op10_toxicity,
     }
 
 
