@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.llm import chat, decontaminate, mixing, quality, secrets, tokens, toxicity
+from shapeloom.llm import chat, decontaminate, mixing, quality, secrets, simhash, tokens, toxicity
 from shapeloom.llm.common import documents, fold_of
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.assign_copies(documents(spark, sf_dir), mixing.text_size())
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -55,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_simhash": op1_simhash,
         "op2_mixing": op2_mixing,
         "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
