@@ -9,6 +9,7 @@ A null text counts as an empty text.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -73,6 +74,12 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no live DataFrame needs; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

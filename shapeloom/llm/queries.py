@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.llm import chat, decontaminate, mixing, quality, secrets, simhash, tokens, toxicity
+from shapeloom.llm import chat, decontaminate, mixing, quality, secrets, simhash, substrings, tokens, toxicity
 from shapeloom.llm.common import documents, fold_of
 
 
@@ -29,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.deduplicate(documents(spark, sf_dir)))
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -64,6 +68,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
+        "op5_substrings": op5_substrings,
         "op6_chat": op6_chat,
         "op7_decontaminate": op7_decontaminate,
         "op9_tokens": op9_tokens,
