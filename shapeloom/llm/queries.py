@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.llm import chat, decontaminate, mixing, quality, secrets, simhash, substrings, tokens, toxicity
+from shapeloom.llm import chat, decontaminate, language_model, mixing, quality, secrets, simhash, substrings, tokens, toxicity
 from shapeloom.llm.common import documents, fold_of
 
 
@@ -46,6 +46,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir), fold_of(F.col("doc_id"), 7) == 2)
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op5_substrings": op5_substrings,
         "op6_chat": op6_chat,
         "op7_decontaminate": op7_decontaminate,
+        "op8_language_model": op8_language_model,
         "op9_tokens": op9_tokens,
         "op10_toxicity": op10_toxicity,
     }
