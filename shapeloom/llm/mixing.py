@@ -24,7 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapeloom.llm.common import discard, materialize, text_of, tune, words_of
@@ -180,13 +180,15 @@ def text_size() -> Column:
 
 
 def repeated(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as decided; of rows that share a doc_id and size, each has its own decision."""
-    order = ["doc_id", "size"]
-    from pyspark.sql import Window
-
-    n = lambda df, *by: df.withColumn("_k", F.row_number().over(Window.partitionBy(*order).orderBy(*by)))
-    left = n(docs.withColumn("size", text_size()), F.xxhash64("text"))
-    right = n(copies.select(*order, "copies"), F.desc("copies"))
-    on = F.expr("l.doc_id <=> r.doc_id and l.size = r.size and l._k = r._k")
+    """The rows of ``docs`` as often as decided.
+
+    Decisions are matched by doc_id, source and size; rows that share all three have theirs dealt
+    out in the order of their text hashes.
+    """
+    keys = ["doc_id", "source", "size"]
+    order = Window.partitionBy(*keys)
+    left = docs.withColumn("size", text_size()).withColumn("_k", F.row_number().over(order.orderBy(F.xxhash64("text"))))
+    right = copies.select(*keys, "copies").withColumn("_k", F.row_number().over(order.orderBy(F.desc("copies")))).where("copies > 0")
+    on = F.expr("l.doc_id <=> r.doc_id and l.source <=> r.source and l.size = r.size and l._k = r._k")
     joined = left.alias("l").join(right.alias("r"), on)
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("r.copies").cast("int")))).where("r.copies > 0").select(*[F.col(f"l.{c}") for c in docs.columns])
+    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("r.copies").cast("int")))).select(*[F.col(f"l.{c}") for c in docs.columns])

@@ -74,6 +74,8 @@ def judge(docs: DataFrame) -> DataFrame:
     df = df.withColumn("kept_text", F.array_join("_kept", "\n"))
     df = df.withColumn("kept_words", F.regexp_count("kept_text", F.lit(WORD_CLASS + "+")).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    df = df.withColumn("base_failed", failed)
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= (1 - MAX_LOST) * F.col("n_words")))
+    # A filter on a verdict stays above it: pushed down, it would repeat every expression that it rests on.
+    here = F.monotonically_increasing_id() >= 0
+    df = df.withColumn("base_failed", here & failed)
+    df = df.withColumn("kept", here & ~F.col("base_failed") & (F.col("kept_words") >= (1 - MAX_LOST) * F.col("n_words")))
     return df.select(*[q(c) for c in own], *ADDED)
