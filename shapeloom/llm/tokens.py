@@ -11,7 +11,8 @@ Parquet is only the container; it is what lets executors write to any store with
 protocol.
 
 Texts are tokenized word by word: the normalizer and the splitter of the tokenizer never look
-across white space, so the ids of a text are those of its words in order.  ``split_is_safe``
+across white space, so the ids of a text are those of its words in order, and each worker asks
+the tokenizer for a word once.  ``split_is_safe``
 checks that the loaded tokenizer is of that kind; others get whole texts.
 
 Defined results: a null or empty text has the end id only; rows of equal doc_id are ordered by
@@ -30,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.llm.common import BLOCK_BYTES, new_path, tune
+from shapeloom.llm.common import BLOCK_BYTES, Block, blocks, discard, materialize, new_path, release, tune
 
 END_ID = 2
-#: Distinct words whose ids a Python worker keeps; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a Python worker keeps; when it is full, words that came in one block only go.
+CACHE_WORDS = 1_200_000
 #: Documents in a shard, about; a shard is a range of doc_id and a task.
 SHARD_ROWS = 4096
 
@@ -56,6 +57,58 @@ def split_is_safe(spec: dict) -> bool:
     return bool(fine and drops and rest and added and not spec.get("post_processor"))
 
 
+#: Splitter for which ``units`` cuts words further; a fixed value.
+_LETTERS_DIGITS_REST = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_letters(spec: dict) -> bool:
+    """Whether the tokenizer lowers all letters and always separates letters or digits from the rest."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return any(s.get("type") == "Lowercase" for s in steps) and (cuts[0].get("pattern") or {}).get("Regex") == _LETTERS_DIGITS_REST
+
+
+_GAP, _ALNUM, _WILD = (np.zeros(256, bool) for _ in range(3))
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_ALNUM[[b for b in range(256) if b >= 0x80 or chr(b).isalnum()]] = True
+_WILD[[0x27, 0x3C, *(b for b in range(0xC0, 0x100) if b != 0xC3)]] = True
+
+
+def units(block: Block) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased pieces of the block's words, cut between letters or digits and other characters; pieces per text.
+
+    Only words of ASCII and the letters U+00C0 to U+00FF are cut and lowered.  Words with an
+    apostrophe (contractions), with ``<`` (special tokens) or with other characters (which may
+    combine) stay as they are.
+    """
+    buf, off = block.buf, block.off
+    starts, ends, _ = block.words()
+    after_c3 = np.zeros(len(buf), bool)
+    after_c3[1:] = buf[:-1] == 0xC3
+    wild = _WILD[buf] | (after_c3 & ((buf == 0x97) | (buf == 0xB7)))
+    sums = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(wild, out=sums[1:])
+    odd = sums[ends] > sums[starts]
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[starts[odd]] += 1
+    edge[ends[odd]] -= 1
+    as_is = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    lowered = block.lowered()
+    lowered = np.where(after_c3 & (buf >= 0x80) & (buf <= 0x9E) & (buf != 0x97), lowered + np.uint8(0x20), lowered)
+    lowered = np.where(as_is, buf, lowered)
+    gap, letter = _GAP[buf], _ALNUM[buf]
+    begins = np.zeros(len(buf), bool)
+    begins[1:] = (letter[1:] != letter[:-1]) & ~gap[1:] & ~gap[:-1] & ~as_is[1:]
+    begins[starts] = True
+    first = np.flatnonzero(begins)
+    solid = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(~gap, out=solid[1:])
+    offsets = np.append(solid[first], solid[-1]).astype(np.int32)
+    data = lowered[~gap]
+    pieces_ = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data))
+    return pieces_, np.diff(np.searchsorted(first, off))
+
+
 class Encoder:
     """Ids of texts as one flat array and the number of ids of each text."""
 
@@ -63,7 +116,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.by_word = split_is_safe(json.load(f))
+            spec = json.load(f)
+        self.by_word = split_is_safe(spec)
+        self.by_unit = self.by_word and cuts_letters(spec)
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
@@ -71,8 +126,22 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
+        self.starts, self.lengths, self.blocks = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def _purge(self) -> None:
+        """Keep the words of two blocks or more; forget all if these are most of the cache."""
+        n = len(self.index)
+        keep = np.flatnonzero(self.blocks[:n] > 1)
+        if len(keep) > CACHE_WORDS // 2:
+            return self.forget()
+        words = list(self.index)
+        take, long = self.starts[keep], self.lengths[keep]
+        ends = np.cumsum(long)
+        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(take - (ends - long), long)]
+        self.index = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.flat, self.used = np.concatenate([flat, np.zeros(1 << 16, np.uint32)]), len(flat)
+        grow = lambda x: np.concatenate([x, np.zeros(1 << 12, np.int64)])
+        self.starts, self.lengths, self.blocks = grow(ends - long), grow(long), grow(np.zeros(len(keep), np.int64))
 
     def _add(self, new: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
@@ -83,6 +152,7 @@ class Encoder:
         while base + len(new) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.blocks = np.concatenate([self.blocks, np.zeros_like(self.blocks)])
         self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
         self.starts[base : base + len(new)] = self.used + np.cumsum(n) - n
         self.lengths[base : base + len(new)] = n
@@ -93,16 +163,23 @@ class Encoder:
         if not self.by_word:
             ids = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.array([x for y in ids for x in y], np.uint32), np.array([len(x) for x in ids], np.int64)
-        lists = pc.ascii_split_whitespace(texts)
-        per_text = np.diff(np.asarray(lists.offsets))
-        coded = lists.flatten().dictionary_encode()
+        if self.by_unit:
+            both = [units(block) for block in blocks(texts)]
+            flat = pa.concat_arrays([x[0] for x in both]) if both else pa.array([], pa.string())
+            per_text = np.concatenate([x[1] for x in both]) if both else np.zeros(0, np.int64)
+        else:
+            lists = pc.ascii_split_whitespace(texts)
+            flat, per_text = lists.flatten(), np.diff(np.asarray(lists.offsets))
+        coded = flat.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.index) + len(words) > CACHE_WORDS:
-            self.forget()
+            self._purge()
         new = [w for w in words if w not in self.index]
         if new:
             self._add(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
+        own = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.blocks[own] += 1
+        at = own[np.asarray(coded.indices)]
         n = self.lengths[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -170,62 +247,90 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 _FILE_COLUMNS = "shard long, row long, doc_id long, start long, n_tokens long, control binary, data binary"
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(id, n): how often each id occurs, ends included.  Every task sends a row for each id at most."""
+_STAGED = "shard long, row long, doc_id long, start long, n_tokens long, ids binary, counts binary"
 
-    def run(batches):
-        enc, sums, texts = encoder(path), np.zeros(1 << 16, np.int64), 0
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                ids, _ = enc.encode(piece.column(0).fill_null(""))
-                if len(ids) and ids.max() >= len(sums):
-                    sums = np.concatenate([sums, np.zeros(int(ids.max()) + 1 - len(sums), np.int64)])
-                sums += np.bincount(ids, minlength=len(sums))
-                texts += len(piece)
-        sums[end_id] += texts
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(sums[at])], ["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> None:
-    """Encode ``docs`` (doc_id, text) into the folder ``path``."""
-    spark = docs.sparkSession
-    tune(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    counts = sorted(((r["id"], r["n"]) for r in count_ids(docs, tokenizer, end_id).collect()), key=lambda x: (-x[1], x[0]))  # one row for each id of the vocabulary
-    spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(counts)], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/vocab")
-    ranks = np.zeros(max((i for i, _ in counts), default=0) + 1, np.uint32)
-    ranks[[i for i, _ in counts]] = np.arange(len(counts))
-    rank_of = spark.sparkContext.broadcast(ranks)
+def _tokenize(tokenizer: str, end_id: int):
+    """Rows (doc_id, text) in order -> a row for each with its ids, and one with the counts of all ids of the task."""
 
-    def code(batches):
+    def run(batches):
         from pyspark import TaskContext
 
-        enc, ranks, row, start = encoder(tokenizer), rank_of.value, 0, 0
+        enc, row, start, sums = encoder(tokenizer), 0, 0, np.zeros(1 << 16, np.int64)
         shard = TaskContext.get().partitionId()
+        kinds = {"ids": pa.binary(), "counts": pa.binary()}
         for batch in batches:
             for piece in pieces(batch, "text"):
                 ids, n = with_end(*enc.encode(piece.column(1).fill_null("")), end_id)
-                coded, ends = ranks[ids], np.cumsum(n)
-                both = [pack(coded[e - k : e]) for e, k in zip(ends, n, strict=True)]
+                ends = np.cumsum(n)
+                if ids.max() >= len(sums):
+                    sums = np.concatenate([sums, np.zeros(int(ids.max()) + 1 - len(sums), np.int64)])
+                sums += np.bincount(ids, minlength=len(sums))
+                raw = ids.astype("<u2" if ids.max() < 1 << 16 else "<u4")
                 columns = {
                     "shard": np.full(len(n), shard, np.int64),
                     "row": np.arange(row, row + len(n)),
                     "doc_id": piece.column(0),
                     "start": start + ends - n,
                     "n_tokens": n,
-                    "control": pa.array([x[0] for x in both], pa.binary()),
-                    "data": pa.array([x[1] for x in both], pa.binary()),
+                    "ids": pa.array([raw[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], kinds["ids"]),
+                    "counts": pa.nulls(len(n), kinds["counts"]),
                 }
                 yield pa.RecordBatch.from_pydict(columns)
                 row, start = row + len(n), start + int(ends[-1])
+        if row:
+            last = {c: pa.nulls(1, pa.int64()) for c in ("shard", "row", "doc_id", "start", "n_tokens")}
+            yield pa.RecordBatch.from_pydict(last | {"ids": pa.nulls(1, kinds["ids"]), "counts": pa.array([sums.astype("<i8").tobytes()])})
+
+    return run
+
+
+def _sum_counts(batches):
+    sums = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            n = np.frombuffer(raw, "<i8")
+            if len(n) > len(sums):
+                sums = np.concatenate([sums, np.zeros(len(n) - len(sums), np.int64)])
+            sums[: len(n)] += n
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(sums[at])], ["id", "n"])
+
+
+def _pack_rows(ranks):
+    def run(batches):
+        of = ranks.value
+        for batch in batches:
+            c = dict(zip(batch.schema.names, batch.columns, strict=True))
+            both = [pack(of[np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")]) for raw, n in zip(c["ids"].to_pylist(), c["n_tokens"].to_pylist(), strict=True)]
+            coded = [pa.array([x[k] for x in both], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(c[k] for k in ("shard", "row", "doc_id", "start", "n_tokens")), *coded], ["shard", "row", "doc_id", "start", "n_tokens", "control", "data"])
 
+    return run
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> None:
+    """Encode ``docs`` (doc_id, text) into the folder ``path``.
+
+    Texts are tokenized once, in order; their ids wait in the shared folder until all are counted.
+    """
+    spark = docs.sparkSession
+    tune(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // shard_rows)
     tie = F.xxhash64("text")
     dealt = docs.repartitionByRange(shards, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
-    dealt.mapInArrow(code, _FILE_COLUMNS).write.option("compression", "none").parquet(f"{path}/data")
+    staged = materialize(dealt.mapInArrow(_tokenize(tokenizer, end_id), _STAGED), "ids", compression="zstd")
+    del dealt
+    release(spark)
+    found = staged.where("counts is not null").select("counts").mapInArrow(_sum_counts, "id long, n long")
+    counts = sorted(((r["id"], r["n"]) for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect()), key=lambda x: (-x[1], x[0]))  # the vocabulary at most
+    spark.createDataFrame([(k, i, n) for k, (i, n) in enumerate(counts)], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/vocab")
+    ranks = np.zeros(max((i for i, _ in counts), default=0) + 1, np.uint32)
+    ranks[[i for i, _ in counts]] = np.arange(len(counts))
+    packed = staged.where("ids is not null").mapInArrow(_pack_rows(spark.sparkContext.broadcast(ranks)), _FILE_COLUMNS)
+    packed.write.option("compression", "none").parquet(f"{path}/data")
+    discard(staged)
 
 
 def read(spark: SparkSession, path: str, reduce=None, schema: str = "ids array<int>") -> DataFrame:
