@@ -92,8 +92,10 @@ def datatype(t: Column) -> Column:
 
 
 def make_literal(text: Column, kind: str | None = None) -> Column:
-    quoted = F.concat(F.lit('"'), escaped(text), F.lit('"'))
-    return quoted if kind is None else F.concat(quoted, F.lit(f"^^<{XSD}{kind}>"))
+    """A literal of a text, or of the text of a number or date (``kind``), which needs no escapes."""
+    if kind is not None:
+        return F.concat(F.lit('"'), text, F.lit(f'"^^<{XSD}{kind}>'))
+    return F.concat(F.lit('"'), escaped(text), F.lit('"'))
 
 
 def full(pattern: str) -> str:
@@ -101,22 +103,28 @@ def full(pattern: str) -> str:
 
 
 def is_numeric(t: Column) -> Column:
-    return F.substring_index(datatype(t), XSD, -1).isin("decimal", "float", "double", *INTEGERS) & datatype(t).startswith(XSD) & valid(t)
+    return _typed(t, FORMS["double"], ("float", "double")).isNotNull() | exact(t).isNotNull()
+
+
+def has_type(t: Column, kind: str) -> Column:
+    return t.endswith(f'"^^<{XSD}{kind}>')
+
+
+def _typed(t: Column, form: str, kinds, group: int = 1) -> Column:
+    """A group of the lexical form of a literal of one of the kinds; null for other terms.  Names the term once."""
+    pattern = f'^"({form})"\\^\\^<{re.escape(XSD)}(?:{"|".join(kinds)})>$'
+    return F.nullif(F.regexp_extract(t, pattern, group), F.lit(""))
 
 
 def exact(t: Column) -> Column:
     """Value of an integer or decimal; null for other terms and for what 38 digits do not hold."""
-    kinds = [XSD + k for k in ("decimal", *INTEGERS)]
-    fits = F.rlike(lex(t), F.lit(full(FORMS["decimal"])))
-    return F.when(datatype(t).isin(kinds) & fits, F.expr("1") * lex(t).try_cast("decimal(38,18)"))
+    return _typed(t, FORMS["decimal"], ("decimal", *INTEGERS)).try_cast("decimal(38,18)")
 
 
 def floating(t: Column) -> Column:
     """Value of any numeric literal as a double; NaN is null."""
-    kinds = [XSD + k for k in ("decimal", "float", "double", *INTEGERS)]
-    text = F.regexp_replace(lex(t), "INF", "Infinity")
-    found = F.when(datatype(t).isin(kinds) & F.rlike(lex(t), F.lit(full(FORMS["double"]))), text.try_cast("double"))
-    return F.when(~F.isnan(found), found)
+    text = F.regexp_replace(_typed(t, FORMS["double"], ("decimal", "float", "double", *INTEGERS)), "INF", "Infinity")
+    return F.nullif(text.try_cast("double"), F.lit(float("nan")))
 
 
 def valid(t: Column, local: str | None = None) -> Column:
@@ -139,14 +147,12 @@ _HOUR = 3600 * 10**6
 
 
 def _instant(t: Column, kind: str) -> tuple[Column, Column]:
-    """(microseconds, whether a time zone is given) of a dateTime, date or time."""
-    x = lex(t)
-    zoned = F.rlike(x, F.lit(f"{_TZ}$"))
-    bare = F.regexp_replace(x, f"{_TZ}$", "")
-    text = {"dateTime": bare, "date": F.concat(bare, F.lit("T00:00:00")), "time": F.concat(F.lit("1972-12-31T"), bare)}[kind]
-    zone = F.regexp_extract(x, f"({_TZ})$", 1)
-    micros = F.unix_micros(F.try_to_timestamp(F.concat(text, F.when(zone == "", "Z").otherwise(zone))))
-    return F.when((datatype(t) == XSD + kind) & F.rlike(x, F.lit(full(FORMS[kind]))), micros), zoned
+    """(microseconds, time zone or an empty string) of a dateTime, date or time."""
+    form = {"dateTime": f"(?:{_DATE}T{_TIME})", "date": _DATE, "time": _TIME}[kind]
+    text = _typed(t, f"({form})({_TZ})?", (kind,), 2)
+    text = {"dateTime": text, "date": F.concat(text, F.lit("T00:00:00")), "time": F.concat(F.lit("1972-12-31T"), text)}[kind]
+    zone = F.regexp_extract(t, f'({_TZ})"[^"]*$', 1)
+    return F.unix_micros(F.try_to_timestamp(F.concat(text, F.coalesce(F.nullif(zone, F.lit("")), F.lit("Z"))))), zone != ""
 
 
 def _duration(t: Column) -> tuple[Column, Column]:

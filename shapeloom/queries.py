@@ -427,10 +427,13 @@ def statistics(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import shapeloom.sparql_queries  # noqa: F401  adds its queries to the catalogue
+
     return {name: f for name, (f, _) in CATALOGUE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}
 
 
