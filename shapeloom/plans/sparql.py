@@ -553,8 +553,10 @@ def variables(e) -> set[str]:
         return variables(e.group)
     if isinstance(e, Union_):
         return set().union(*map(variables, e.groups))
+    if isinstance(e, Filter_):
+        return variables(e.expr)
     if isinstance(e, Bind_):
-        return {e.var}
+        return {e.var} | variables(e.expr)
     if isinstance(e, Values_):
         return set(e.names)
     if isinstance(e, Query):
