@@ -22,8 +22,10 @@ text; a null doc_id comes first; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.llm.common import BLOCK_BYTES, Block, blocks, discard, materialize, new_path, release, tune
+from shapeloom.llm.common import Block, blocks, discard, materialize, new_path, release, tune
 
 END_ID = 2
+#: Text bytes that are tokenized at once; the more, the fewer look-ups of frequent words.
+PIECE_BYTES = 2 << 20
 #: Distinct words whose ids a Python worker keeps; when it is full, words that came in one block only go.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 900_000
 #: Documents in a shard, about; a shard is a range of doc_id and a task.
 SHARD_ROWS = 4096
 
@@ -115,6 +119,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of the library's own would only get in each other's way.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = split_is_safe(spec)
@@ -153,7 +159,7 @@ class Encoder:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
             self.blocks = np.concatenate([self.blocks, np.zeros_like(self.blocks)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.starts[base : base + len(new)] = self.used + np.cumsum(n) - n
         self.lengths[base : base + len(new)] = n
         self.used += total
@@ -164,7 +170,7 @@ class Encoder:
             ids = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.array([x for y in ids for x in y], np.uint32), np.array([len(x) for x in ids], np.int64)
         if self.by_unit:
-            both = [units(block) for block in blocks(texts)]
+            both = [units(block) for block in blocks(texts, PIECE_BYTES)]
             flat = pa.concat_arrays([x[0] for x in both]) if both else pa.array([], pa.string())
             per_text = np.concatenate([x[1] for x in both]) if both else np.zeros(0, np.int64)
         else:
@@ -174,19 +180,20 @@ class Encoder:
         words = coded.dictionary.to_pylist()
         if len(self.index) + len(words) > CACHE_WORDS:
             self._purge()
-        new = [w for w in words if w not in self.index]
-        if new:
-            self._add(new)
-        own = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        own = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        unseen = np.flatnonzero(own < 0)
+        if len(unseen):
+            own[unseen] = np.arange(len(self.index), len(self.index) + len(unseen))
+            self._add([words[k] for k in unseen.tolist()])
         self.blocks[own] += 1
-        at = own[np.asarray(coded.indices)]
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) + np.repeat(self.starts[at] - (ends - n), n)
-        sums = np.concatenate([[0], ends])
+        starts, lengths, index = self.starts[own].astype(np.int32), self.lengths[own].astype(np.int32), np.asarray(coded.indices)
+        n = np.take(lengths, index)
+        sums = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=sums[1:])
+        take = np.repeat(np.take(starts, index) - sums[:-1], n)
+        take += np.arange(len(take), dtype=np.int32)
         first = np.concatenate([[0], np.cumsum(per_text)])
-        return self.flat[take], sums[first[1:]] - sums[first[:-1]]
+        return np.take(self.flat, take), (sums[first[1:]] - sums[first[:-1]]).astype(np.int64)
 
 
 def encoder(path: str) -> Encoder:
@@ -196,11 +203,11 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of about BLOCK_BYTES of text."""
+    """Slices of about PIECE_BYTES of text."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     ends, i = np.cumsum(size), 0
     while i < len(size):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_BYTES, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE_BYTES, "right")))
         yield batch.slice(i, j - i)
         i = j
 
@@ -214,34 +221,51 @@ def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.n
 # ---------------------------------------------------------------- the coding
 
 _LENGTHS = np.stack([np.arange(256) >> (2 * k) & 3 for k in range(4)], axis=1) + 1  # of 4 values, by control byte
-_TOTALS = _LENGTHS.sum(axis=1)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values; 1 to 4 data bytes each."""
-    values = np.ascontiguousarray(values, "<u4")
-    n = 1 + (values > 0xFF) + (values > 0xFFFF).astype(np.int64) + (values > 0xFFFFFF)
-    fields = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    fields[: len(values)] = n - 1
-    f = fields.reshape(-1, 4)
-    control = f[:, 0] | f[:, 1] << 2 | f[:, 2] << 4 | f[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < n[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    control, data = pack_many(values, np.array([len(values)]))
+    return control[0], data[0]
 
 
-def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
-    n = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
-    starts = np.cumsum(n) - n
-    b = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = np.zeros(count, np.uint32)
-    for k in range(4):
-        has = n > k
-        if not has.any():
+def pack_many(values: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """``pack`` of consecutive stretches of n values each: (control bytes, data bytes) of every stretch."""
+    values = np.ascontiguousarray(values, "<u4")
+    size = 1 + (values > 0xFF) + (values > 0xFFFF).astype(np.int64) + (values > 0xFFFFFF)
+    groups = -(-n // 4)
+    control_ends, ends = np.cumsum(groups), np.cumsum(n)
+    place = np.arange(len(values)) + np.repeat(4 * (control_ends - groups) - (ends - n), n)
+    fields = np.zeros(4 * int(control_ends[-1]) if len(n) else 0, np.uint8)
+    fields[place] = size - 1
+    f = fields.reshape(-1, 4)
+    control = (f[:, 0] | f[:, 1] << 2 | f[:, 2] << 4 | f[:, 3] << 6).astype(np.uint8).tobytes()
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    sums = np.concatenate([[0], np.cumsum(size)])
+    cuts, data_cuts = [0, *control_ends.tolist()], sums[np.concatenate([[0], ends])].tolist()
+    return [control[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], [data[x:y] for x, y in zip(data_cuts[:-1], data_cuts[1:], strict=True)]
+
+
+def unpack_many(control: list[bytes], data: list[bytes], n: np.ndarray) -> np.ndarray:
+    """The values of all stretches that ``pack_many`` coded, by table look-up."""
+    groups, ends = -(-n // 4), np.cumsum(n)
+    size = _LENGTHS[np.frombuffer(b"".join(control), np.uint8)].ravel()
+    size = size[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(4 * (np.cumsum(groups) - groups) - (ends - n), n)]
+    starts = np.cumsum(size) - size
+    b = np.frombuffer(b"".join(data) + b"\0\0\0", np.uint8)
+    out = b[starts].astype(np.uint32)
+    for k in range(1, 4):
+        has = np.flatnonzero(size > k)
+        if not len(has):
             break
         out[has] |= b[starts[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
+    return unpack_many([control], [data], np.array([count]))
+
+
 # ---------------------------------------------------------------- the operator
 
 _FILE_COLUMNS = "shard long, row long, doc_id long, start long, n_tokens long, control binary, data binary"
@@ -302,8 +326,10 @@ def _pack_rows(ranks):
         of = ranks.value
         for batch in batches:
             c = dict(zip(batch.schema.names, batch.columns, strict=True))
-            both = [pack(of[np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")]) for raw, n in zip(c["ids"].to_pylist(), c["n_tokens"].to_pylist(), strict=True)]
-            coded = [pa.array([x[k] for x in both], pa.binary()) for k in (0, 1)]
+            raw, n = c["ids"].to_pylist(), np.asarray(c["n_tokens"])
+            narrow = all(len(x) == 2 * k for x, k in zip(raw, n.tolist(), strict=True))
+            ids = np.frombuffer(b"".join(raw), "<u2") if narrow else np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4") for x, k in zip(raw, n, strict=True)])
+            coded = [pa.array(x, pa.binary()) for x in pack_many(of[ids], n)]
             yield pa.RecordBatch.from_arrays([*(c[k] for k in ("shard", "row", "doc_id", "start", "n_tokens")), *coded], ["shard", "row", "doc_id", "start", "n_tokens", "control", "data"])
 
     return run
@@ -349,7 +375,9 @@ def read(spark: SparkSession, path: str, reduce=None, schema: str = "ids array<i
         out = to_arrow_type(kind[0].dataType)
         for batch in batches:
             c = dict(zip(batch.schema.names, batch.columns, strict=True))
-            got = [reduce(table.value[unpack(a, b, n)]) for a, b, n in zip(c["control"].to_pylist(), c["data"].to_pylist(), c["n_tokens"].to_pylist(), strict=True)]
+            n = np.asarray(c["n_tokens"])
+            ids, ends = table.value[unpack_many(c["control"].to_pylist(), c["data"].to_pylist(), n)], np.cumsum(n)
+            got = [reduce(ids[e - k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([c["shard"], c["row"], c["doc_id"], c["start"], c["n_tokens"], pa.array(got, out)], ["shard", "row", "doc_id", "start", "n_tokens", kind[0].name])
 
     sums = sorted((r["shard"], r["n"]) for r in data.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())  # one row for each shard of thousands of documents

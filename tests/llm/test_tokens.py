@@ -20,6 +20,16 @@ def test_coding_round_trip(values):
     assert (tokens.unpack(control, data, len(v)) == v).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=9), max_size=6))
+def test_many_at_once(stretches):
+    n = np.array([len(s) for s in stretches], np.int64)
+    flat = np.array([x for s in stretches for x in s], np.uint32)
+    control, data = tokens.pack_many(flat, n)
+    assert [tokens.pack(np.array(s, np.uint32)) for s in stretches] == list(zip(control, data))
+    assert (tokens.unpack_many(control, data, n) == flat).all()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=60) | st.text("aAÉéß×÷!.$'<2 \u030c\u0338J=…\n", max_size=40) | st.text("aé́ \n\t  'stré1²<|endoftext|>ΣςſK", max_size=60), min_size=1, max_size=8))
 def test_words_alone_give_the_ids_of_the_text(texts):
