@@ -13,6 +13,10 @@ that each rotation starts below the nodes of its first block, and a task gets wh
 A subtree with over ``HOT`` fingerprints is cut into tasks for pairs of nodes eight levels down.
 A task returns a spanning forest of its links, fewer than the fingerprints that it read.
 
+``near_groups`` links texts by the similarity of their shingle sets instead (five words, 0.8 or
+more): fingerprints of such texts differ in too many bits for one trie, so that tries over random
+samples of a longer sketch find candidates, which the whole sketches then settle.
+
 Defined results: a null text is an empty one; texts without words have the fingerprint zero,
 which links like any other; a text of fewer words than a shingle is one shingle; a component's
 id is the smallest doc_id that is not null (null if there is none); repeated rows get their row
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.llm.common import discard, materialize, tune
+from shapeloom.llm.common import discard, materialize, mix, tune
 from shapeloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -40,9 +44,11 @@ ROTATIONS = ((0, 21), (21, 21), (42, 22))
 HOT = 1 << 20
 _SUB_BITS = 8
 #: Node pairs that are expanded at once; bounds a task's memory.
-_FRONTIER = 1 << 19
+_FRONTIER = 1 << 16
 #: A pair of nodes with so few pairs of leaves is compared leaf by leaf.
 _DIRECT = 16
+#: Pairs of leaves that are compared at once.
+_PAIRS = 1 << 20
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -146,7 +152,21 @@ def trie_links(v: np.ndarray, cuts: np.ndarray, depth: int, budget: int, found)
 
 
 def _leaves(v, f, budget, found) -> None:
+    """Compare all leaves of node pairs, at most about _PAIRS pairs at a time."""
     a, b, c, e, _ = f
+    n = (b - a) * (e - c)
+    for k in np.flatnonzero(n > _PAIRS):  # many leaves of equal values
+        step = max(1, _PAIRS // int(e[k] - c[k]))
+        for x in range(int(a[k]), int(b[k]), step):
+            _compare(v, np.array([x]), np.array([min(x + step, b[k])]), c[k : k + 1], e[k : k + 1], budget, found)
+    rest = np.flatnonzero(n <= _PAIRS)
+    cuts = np.searchsorted(np.cumsum(n[rest]), np.arange(_PAIRS, int(n[rest].sum()) + _PAIRS, _PAIRS), "right")
+    for x, y in zip([0, *cuts[:-1]], cuts, strict=True) if len(rest) else ():
+        take = rest[x:y]
+        _compare(v, a[take], b[take], c[take], e[take], budget, found)
+
+
+def _compare(v, a, b, c, e, budget, found) -> None:
     n, w = (b - a) * (e - c), e - c
     t = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     i, j = np.repeat(a, n) + t // np.repeat(w, n), np.repeat(c, n) + t % np.repeat(w, n)
@@ -168,7 +188,18 @@ class Forest:
             x = p[x]
         return x
 
+    def labels(self) -> np.ndarray:
+        """Root of every position; paths become one step long."""
+        while True:
+            up = self.parent[self.parent]
+            if (up == self.parent).all():
+                return up
+            self.parent = up
+
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        r = self.labels()
+        apart = r[i] != r[j]
+        i, j = i[apart], j[apart]
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             x, y = self.root(x), self.root(y)
             if x != y:
@@ -245,11 +276,130 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataF
     return dealt.mapInArrow(_join(max_bits), "a long, b long")
 
 
+# ---------------------------------------------------------------- similar texts: tries over samples of a longer sketch
+
+#: Five-word shingles, and the bits of a sketch that texts of similarity 0.8 (Jaccard) differ in, of SKETCH_WORDS * 64: two
+#: sets of similarity s have cosine 2 s / (1 + s), and a bit differs with probability arccos(cosine) / pi, 58 of 384 at 0.8.
+NEAR_SHINGLE = 5
+SKETCH_WORDS = 6
+NEAR_BITS = 62
+#: Every table reads SAMPLED random bits of the sketch into a trie; pairs agree in the first EXACT of them, which name the
+#: task, and differ in BUDGET of the rest.  A pair at 0.8 is in one table with probability 0.13, so in one of TABLES with 0.99.
+TABLES, SAMPLED, EXACT, BUDGET = 32, 32, 8, 3
+_SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
+
+
+def sketches(texts: list[bytes], k: int) -> np.ndarray:
+    """SKETCH_WORDS fingerprints of each text, from independent hashes of its shingles."""
+    out = np.zeros((len(texts), SKETCH_WORDS), np.uint64)
+    at = 0
+    while at < len(texts):
+        held, size, first = [], 0, at
+        while at < len(texts) and size < 100_000:
+            held.append(shingle_hashes(texts[at], k))
+            size += len(held[-1])
+            at += 1
+        n = np.array([len(h) for h in held])
+        rows = np.flatnonzero(n) + first
+        n = n[n > 0]
+        flat = np.fromiter((x for h in held for x in h), np.uint64, size)
+        for j in range(SKETCH_WORDS if len(n) else 0):
+            h = mix(flat + np.uint64(j * 0x9E3779B97F4A7C15 & (2**64 - 1))) if j else flat
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64)
+            out[rows, j] = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def _sketch_rows(k: int):
+    def run(batches):
+        for batch in batches:
+            found = sketches([b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()], k).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, j])) for j in range(SKETCH_WORDS))], ["doc_id", *_SKETCH])
+
+    return run
+
+
+def _tables(batches):
+    """Rows (fp, sketch) -> a row for each table: (task, v, fp, sketch); v has the sampled bits below its sign."""
+    picks = [np.random.default_rng((17, t)).permutation(64 * SKETCH_WORDS)[:SAMPLED] for t in range(TABLES)]
+    for batch in batches:
+        words = np.stack([np.asarray(c).view(np.uint64) for c in batch.columns[1:]], axis=1)
+        for t, pick in enumerate(picks):
+            v = np.zeros(len(words), np.uint64)
+            for x in pick:
+                v = v << np.uint64(1) | (words[:, x // 64] >> np.uint64(x % 64)) & np.uint64(1)
+            task = (t << EXACT) + (v >> np.uint64(SAMPLED - EXACT)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array((v << np.uint64(63 - SAMPLED)).view(np.int64)), *batch.columns], ["task", "v", "fp", *_SKETCH])
+
+
+def _near_join(most: int):
+    """Rows sorted by (task, v) -> links (a, b) of fps whose sketches differ in ``most`` bits at most: a forest for each stretch of tasks."""
+
+    def links_of(parts):
+        task, v, fp = (np.concatenate([np.asarray(p[k]) for p in parts]) for k in range(3))
+        words = np.stack([np.concatenate([np.asarray(p[3 + j]) for p in parts]) for j in range(SKETCH_WORDS)], axis=1).view(np.uint64)
+        forest = Forest(len(v))
+
+        def check(i, j):
+            r = forest.labels()
+            apart = r[i] != r[j]
+            i, j = i[apart], j[apart]
+            for x in range(0, len(i), 1 << 17):
+                p, q = i[x : x + (1 << 17)], j[x : x + (1 << 17)]
+                near = np.bitwise_count(words[p] ^ words[q]).sum(axis=1) <= most
+                forest.add(p[near], q[near])
+
+        cuts = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(v)]])
+        trie_links(v.view(np.uint64), cuts, 1 + EXACT, BUDGET, check)
+        r = forest.labels()
+        at = np.flatnonzero(r != np.arange(len(r)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[r[at]])], ["a", "b"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            now, task = batch.columns, np.asarray(batch.column(0))
+            held.append(now)
+            size += len(task)
+            if size < 20_000 or not len(task) or task[-1] == np.asarray(held[0][0])[0]:
+                continue
+            last = int(np.searchsorted(task, task[-1], "left"))
+            if last == 0 and len(held) == 1:
+                continue
+            yield links_of([*held[:-1], [c.slice(0, last) for c in now]])
+            held, size = [[c.slice(last) for c in now]], len(task) - last
+        if held:
+            yield links_of(held)
+
+    return run
+
+
+def near_groups(docs: DataFrame, k: int = NEAR_SHINGLE, most: int = NEAR_BITS) -> DataFrame:
+    """doc_id, fp (of the sketch), component_id: texts whose shingle sets have an estimated similarity of 0.8 or more are linked."""
+    tune(docs.sparkSession)
+    columns = ", ".join(f"{c} long" for c in _SKETCH)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch_rows(k), f"doc_id long, {columns}")
+    rows = materialize(found.withColumn("fp", F.xxhash64(*_SKETCH)), "sketches")
+    distinct = rows.groupBy("fp").agg(*[F.min(c).alias(c) for c in _SKETCH])
+    tasks = distinct.select("fp", *_SKETCH).mapInArrow(_tables, f"task long, v long, fp long, {columns}")
+    linked = tasks.repartition("task").sortWithinPartitions("task", "v").mapInArrow(_near_join(most), "a long, b long")
+    return _label(rows.select("doc_id", "fp"), linked)
+
+
 def groups(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id of each row of ``docs`` (doc_id, text)."""
     rows = materialize(fingerprint_rows(docs, k), "fingerprints")
+    classes = materialize(rows.select("fp").distinct(), "distinct")
+    out = _label(rows, links(classes, max_bits))
+    discard(classes)
+    return out
+
+
+def _label(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Component ids of rows (doc_id, fp) whose fps are linked by ``edges``."""
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = materialize(connected_components(links(classes, max_bits)), "components")
+    found = materialize(connected_components(edges), "components")
     joined = found.join(classes, found.node == classes.fp).select("node", "root", "rep")
     lowest = joined.groupBy("root").agg(F.min("rep").alias("low"))
     linked = found.join(lowest, "root").select(F.col("node").alias("fp"), "low")
@@ -258,9 +408,9 @@ def groups(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataF
     return rows.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the one whose doc_id names the group."""
-    grouped = groups(docs.select("doc_id", "text"), k, max_bits)
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of similar texts: the one whose doc_id names the group."""
+    grouped = near_groups(docs.select("doc_id", "text"))
     kept = grouped.select(F.col("component_id").alias("_keep")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept._keep), "left_semi").dropDuplicates(["doc_id"])
 

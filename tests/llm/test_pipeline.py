@@ -1,8 +1,8 @@
 from collections import Counter
 
 import corpus_pipeline as cp
-from brute import words
-from test_simhash import expected
+from brute import components, words
+from test_simhash import jaccard_groups
 from test_tokens import expected as expected_tokens
 
 from shapeloom.llm import mixing, quality, queries
@@ -22,8 +22,12 @@ def test_stages_against_brute_force(spark):
     rows = [[r.asDict() for r in x.collect()] for x in out]
     kept = {r.doc_id for r in quality.judge(documents(spark, SF)).where("kept").collect()}
     assert {r["doc_id"] for r in rows[0]} == kept and len(rows[0]) == len(kept)
-    groups = expected([(r["doc_id"], r["text"]) for r in rows[0]])
-    assert {r["doc_id"] for r in rows[1]} == {c for _, c in groups.values()} and len(rows[1]) == len({c for _, c in groups.values()})
+    sim = jaccard_groups([(r["doc_id"], r["text"]) for r in rows[0]])
+    one = {r["doc_id"] for r in rows[1]}
+    assert len(one) == len(rows[1]) and one <= kept
+    assert not [p for p, s in sim.items() if s >= 0.85 and p[0] in one and p[1] in one]
+    loose = components([p for p, s in sim.items() if s >= 0.65], kept)
+    assert {loose[d] for d in kept} == {loose[d] for d in one}
     leaks = {r.doc_id for r in queries.op7_decontaminate(spark, SF).collect()}
     assert {r["doc_id"] for r in rows[2]} == {r["doc_id"] for r in rows[1]} - leaks
     times = Counter(r["doc_id"] for r in rows[3])

@@ -88,3 +88,39 @@ def test_arrow_stream_keeps_tasks_whole():
     nodes = {x for _, x in rows}
     pairs = [(a, b) for t, a in rows for u, b in rows if t == u and a < b and (a ^ b).bit_count() <= 2]
     assert components(got, nodes) == components(pairs, nodes)
+
+
+def jaccard_groups(docs, k=5):
+    """(pairs of texts with similarity >= 0.8, {pair: similarity}) by an index of shingles."""
+    sets, index, sim = {}, {}, {}
+    for d, t in docs:
+        w = (t or "").encode().lower().split()
+        sets[d] = {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+        for s in sets[d]:
+            index.setdefault(s, []).append(d)
+    seen = {(a, b) for ds in index.values() if len(ds) < 300 for i, b in enumerate(ds) for a in ds[:i]}
+    for a, b in seen:
+        sim[a, b] = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    return sim
+
+
+def edited_copies():
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(3000)}"
+    docs = [(k, " ".join(word() for _ in range(rng.randrange(60, 400)))) for k in range(300)]
+    for k in range(900):
+        w = docs[k % 300][1].split()
+        for _ in range(max(1, int(len(w) * rng.choice((0.004, 0.01, 0.015))))):
+            w[rng.randrange(len(w))] = word()
+        docs.append((1000 + k, " ".join(w)))
+    return docs
+
+
+def test_similar_texts_are_found(spark):
+    docs = edited_copies()
+    got = {r.doc_id: r.component_id for r in op.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sim = jaccard_groups(docs)
+    near = [p for p, s in sim.items() if s >= 0.8]
+    assert len(near) > 300 and sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
+    linked = components([p for p, s in sim.items() if s >= 0.65], [d for d, _ in docs])
+    assert all(linked[d] == linked[c] for d, c in got.items())
