@@ -24,7 +24,7 @@ MAX_REPEAT_PERCENT = 30
 #: A document may lose up to this share of its words with its failed lines.
 MAX_LOST = 0.5
 #: Rules of a line.
-ENDS = r"""[.!?…:;"'”’»)\]][ \t-\r]*$"""
+ENDS = r"""[.!?…:;"'”’»)\]][ \t-\r]*\z"""
 MARKS = r"[!?#$%&*]{2,}"
 MAX_MARKS = 0.3
 SEPARATORS = r"(?:^|[ \t])[|»›•·>](?:[ \t]|$)"

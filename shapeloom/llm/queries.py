@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapeloom.llm import chat, decontaminate, language_model, mixing, quality, secrets, simhash, substrings, tokens, toxicity
+from shapeloom.llm import chat, decontaminate, language_model, mixing, oracles, quality, secrets, simhash, substrings, tokens, toxicity
 from shapeloom.llm.common import documents, fold_of
 
 
@@ -82,4 +82,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secrets": oracles.secrets_sql(), "op4_quality": oracles.quality_sql(), "op6_chat": oracles.chat_sql(PROBE)}
