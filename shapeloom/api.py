@@ -53,6 +53,17 @@ class Validator:
         return Result(report.conforms(rows, f"<{SH}{minimum}>"), rows, self.schema.diagnostics)
 
 
+def infer(spark: SparkSession, data, shapes=None) -> TripleTable:
+    """The triples that the rules of the shapes graph add to the data."""
+    from shapeloom.operators.infer import infer as run
+    from shapeloom.operators.infer import lower_rules
+
+    graph = load(shapes if shapes is not None else data)
+    schema = lower(graph)
+    table = data if hasattr(data, "scan") else TripleTable.of(spark, load(data).union(graph))
+    return TripleTable(run(table, lower_rules(graph, schema), schema))
+
+
 def validate(spark: SparkSession, data, shapes=None, **options) -> Result:
     """Validate ``data`` against ``shapes``, or against the shapes that it holds itself."""
     return Validator(spark, shapes if shapes is not None else data).validate(data, **options)

@@ -12,11 +12,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapeloom.operators import sparql
 from shapeloom.operators.paths import reach
 from shapeloom.operators.shapes import Compiler, foci
-from shapeloom.plans.paths import Path, predicates
-from shapeloom.plans.shapes import Schema, Shape, Target
+from shapeloom.plans.paths import Path, from_graph, predicates
+from shapeloom.plans.shapes import Ref, Schema, Shape, Target, prefixes_of, sh
 from shapeloom.sources.storage import materialize
+from shapeloom.sources.terms import Graph, parts
 from shapeloom.sources.triples import TripleTable
 
 
@@ -67,6 +69,8 @@ class Rule:
     conditions: list[Shape] = field(default_factory=list)
     order: float = 0
     deactivated: bool = False
+    construct: str | None = None  # a CONSTRUCT with $this bound to the foci, instead of the three expressions
+    prefixes: tuple[tuple[str, str], ...] = ()
 
 
 def evaluate(c: Compiler, e: Expr, focus: DataFrame) -> DataFrame:
@@ -95,6 +99,8 @@ def apply_rule(c: Compiler, rule: Rule) -> DataFrame:
     focus = foci(c.source, rule.targets)
     for shape in rule.conditions:
         focus = c.sat(shape, focus)
+    if rule.construct is not None:
+        return sparql.construct(c.source, rule.construct, dict(rule.prefixes), this=focus)
     s, p, o = (evaluate(c, e, focus).withColumnRenamed("u", name) for e, name in ((rule.subject, "s"), (rule.predicate, "p"), (rule.object, "o")))
     out = s.join(p, "v").join(o, "v").select("s", "p", "o")
     return out.where(~F.col("s").startswith('"') & F.col("p").startswith("<")).distinct()
@@ -114,7 +120,7 @@ def _reads(rule: Rule) -> set[str] | None:
             return None if None in parts else set().union(*parts)
         return set()
 
-    if rule.conditions or any(t.kind == "class" for t in rule.targets):
+    if rule.conditions or rule.construct is not None or any(t.kind in ("class", "sparql") for t in rule.targets):
         return None
     found = [of(e) for e in (rule.subject, rule.predicate, rule.object)]
     return None if None in found else set().union(*found, {t.term for t in rule.targets if t.kind != "node"})
@@ -149,3 +155,38 @@ def infer(graph: TripleTable, rules: list[Rule], schema: Schema | None = None, m
         if not grown:
             break
     return added if added is not None else graph.spark.createDataFrame([], "s string, p string, o string")
+
+
+def lower_expr(g: Graph, node: str) -> Expr:
+    """A node expression of a shapes graph."""
+    if node == sh("this"):
+        return This()
+    inner = g.value(node, sh("nodes"))
+    of = lower_expr(g, inner) if inner is not None else This()
+    if (x := g.value(node, sh("path"))) is not None:
+        return Along(from_graph(g, x), of)
+    if (x := g.value(node, sh("filterShape"))) is not None:
+        return Filtered(of, Ref(x))
+    for name, kind in (("union", Any), ("intersection", Both)):
+        if (x := g.value(node, sh(name))) is not None:
+            return kind(tuple(lower_expr(g, y) for y in g.items(x)))
+    return Const(node)
+
+
+def lower_rules(g: Graph, schema: Schema) -> list[Rule]:
+    """The rules of a shapes graph, for the targets of the shapes that have them."""
+    out = []
+    for shape in sorted(g.subjects_of(sh("rule"))):
+        targets = schema.shapes[shape].targets if shape in schema.shapes else []
+        for r in g.objects(shape, sh("rule")):
+            get = lambda name, r=r: g.value(r, sh(name))
+            common = {
+                "conditions": [Ref(x) for x in g.objects(r, sh("condition"))],
+                "order": float(parts(get("order"))[1]) if get("order") else 0.0,
+                "deactivated": any(parts(x)[1] == "true" for x in g.objects(r, sh("deactivated"))),
+            }
+            if get("construct") is not None:
+                out.append(Rule(targets, This(), This(), This(), **common, construct=parts(get("construct"))[1], prefixes=prefixes_of(g, r)))
+            elif all(get(x) is not None for x in ("subject", "predicate", "object")):
+                out.append(Rule(targets, *(lower_expr(g, get(x)) for x in ("subject", "predicate", "object")), **common))
+    return out

@@ -55,8 +55,19 @@ def _reach(source, p: Path, domain: DataFrame | None) -> DataFrame:
     return closed.unionByName(_reach(source, Id(), domain)).distinct()
 
 
+#: Up to so many edges, and pairs of their closure, a closure is computed on the driver (class hierarchies); beyond, by joins.
+SMALL_EDGES, SMALL_PAIRS = 5_000, 200_000
+
+
 def closure(step: DataFrame) -> DataFrame:
-    """Transitive closure by path doubling: the number of rounds is the logarithm of the longest path."""
+    """Transitive closure.
+
+    Small step relations, whose size is checked first, are closed on the driver.  Others double their
+    paths in every round, so that the number of rounds is the logarithm of the longest path.
+    """
+    edges = [(r["v"], r["u"]) for r in step.limit(SMALL_EDGES + 1).collect()]
+    if len(edges) <= SMALL_EDGES and (found := _close(edges)) is not None:
+        return step.sparkSession.createDataFrame(found, "v string, u string")
     now = materialize(step.distinct())
     count = now.count()
     while True:
@@ -66,3 +77,22 @@ def closure(step: DataFrame) -> DataFrame:
         if more == count:
             return grown
         now, count = grown, more
+
+
+def _close(edges: list[tuple[str, str]]) -> list[tuple[str, str]] | None:
+    """The closure of a few edges; None if it has over SMALL_PAIRS pairs."""
+    follow: dict[str, list[str]] = {}
+    for v, u in edges:
+        follow.setdefault(v, []).append(u)
+    out: list[tuple[str, str]] = []
+    for v in follow:
+        seen, todo = set(), [v]
+        while todo:
+            for u in follow.get(todo.pop(), ()):
+                if u not in seen:
+                    seen.add(u)
+                    todo.append(u)
+        out += [(v, u) for u in seen]
+        if len(out) > SMALL_PAIRS:
+            return None
+    return out

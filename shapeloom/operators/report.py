@@ -85,6 +85,16 @@ def _component(c: Compiler, d: Definition, part: Component, focus: DataFrame, va
         return _rows(d, part, c.repeated_tags(UniqueLang(d.path or Id()), focus), None, message)
     if n in ("Equals", "Disjoint", "LessThan", "LessThanOrEquals"):
         return _rows(d, part, c.pair_failures(Pair(n, d.path or Id(), part.value), focus), F.col("u"), message)
+    if n == "SPARQL":
+        from shapeloom.operators import sparql
+
+        rows = sparql.select(c.source, part.value, dict(part.extra["prefixes"]), this=focus)
+        has = rows.columns
+        rows = rows.select(F.col("this").alias("v"), *[F.col(x) for x in has if x in ("value", "path", "message")])
+        value = F.coalesce("value", "v") if "value" in has else F.col("v")
+        path = F.coalesce(F.col("path"), F.lit(d.path_text)) if "path" in has else F.lit(d.path_text).cast("string")
+        out = _rows(d, part, rows, value, part.extra["message"] or message, path)
+        return out
     if n == "Closed":
         out = c.source.all()
         out = out.where(~F.col("p").isin(list(part.value))) if part.value else out

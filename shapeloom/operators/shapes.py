@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shapeloom.functions.terms import compare, facet, lang
 from shapeloom.operators.paths import reach
 from shapeloom.plans.paths import Inv, Pred, Seq, Star
-from shapeloom.plans.shapes import And, Closed, Count, Not, Or, Pair, Ref, Schema, Shape, Target, Test, Top, UniqueLang, Xone, normalize, strata
+from shapeloom.plans.shapes import And, Closed, Count, Not, Or, Pair, Ref, Schema, Shape, Sparql, Target, Test, Top, UniqueLang, Xone, normalize, strata
 from shapeloom.sources.storage import materialize
 from shapeloom.sources.terms import SUBCLASS, TYPE
 
@@ -26,6 +26,11 @@ def select(source, target: Target) -> DataFrame:
         return source.scan(target.term).select(F.col("s").alias("v")).distinct()
     if target.kind == "objectsOf":
         return source.scan(target.term).select(F.col("o").alias("v")).distinct()
+    if target.kind == "sparql":
+        from shapeloom.operators import sparql
+
+        found = sparql.select(source, target.term, dict(target.prefixes)).select(F.col("this").alias("v")).distinct()
+        return found.join(source.nodes(), "v", "left_semi")
     return instances(source, target.term)
 
 
@@ -108,6 +113,11 @@ class Compiler:
             return d.join(self.repeated_tags(s, d).select("v"), "v", "left_anti")
         if isinstance(s, Count):
             return self._count(s, d)
+        if isinstance(s, Sparql):
+            from shapeloom.operators import sparql
+
+            rows = sparql.select(self.source, s.text, dict(s.prefixes), this=d)
+            return d.join(rows.select(F.col("this").alias("v")), "v", "left_anti")
         raise TypeError(f"no such shape: {s}")
 
     def values(self, path, d: DataFrame) -> DataFrame:

@@ -81,6 +81,14 @@ class Ref(Shape):
     name: str
 
 
+@dataclass(frozen=True)
+class Sparql(Shape):
+    """Holds for nodes for which a SELECT with $this bound to them has no row."""
+
+    text: str
+    prefixes: tuple[tuple[str, str], ...] = ()
+
+
 def every(path: Path, shape: Shape) -> Shape:
     return Count(path, 0, 0, Not(shape))
 
@@ -94,10 +102,11 @@ def class_test(cls: str) -> Shape:
 
 @dataclass(frozen=True)
 class Target:
-    """kind: class, node, subjectsOf or objectsOf."""
+    """kind: class, node, subjectsOf, objectsOf or sparql (``term`` is then a SELECT of ?this)."""
 
     kind: str
     term: str
+    prefixes: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass
@@ -153,6 +162,8 @@ class Schema:
             return Count(path, v, None, self.qualifier(c))
         if n == "QualifiedMaxCount":
             return Count(path, 0, v, self.qualifier(c))
+        if n == "SPARQL":
+            return Sparql(v, c.extra["prefixes"])
         own = self.value_test(c)
         return own if d.path is None else every(path, own)
 
@@ -206,7 +217,8 @@ def lower(g: Graph) -> Schema:
     """The schema of a shapes graph: every shape that is declared, targeted or referred to."""
     schema = Schema({})
     classes = {f"<{RDFS}Class>", "<http://www.w3.org/2002/07/owl#Class>"}
-    heads = [s for s, p, o in g.triples if (p == TYPE and o in (sh("NodeShape"), sh("PropertyShape"))) or p in (sh("path"), sh("targetClass"), sh("targetNode"), sh("targetSubjectsOf"), sh("targetObjectsOf"))]
+    heads = [s for s, p, o in g.triples if (p == TYPE and o in (sh("NodeShape"), sh("PropertyShape"))) or p in (sh("path"), sh("sparql"), sh("rule"), sh("target"), sh("targetClass"), sh("targetNode"), sh("targetSubjectsOf"), sh("targetObjectsOf"))]
+    heads += [o for s, p, o in g.triples if p in (sh("condition"), sh("filterShape"))]
     todo, siblings = sorted(dict.fromkeys(heads)), _siblings(g)
     while todo:
         s = todo.pop()
@@ -223,6 +235,9 @@ def lower(g: Graph) -> Schema:
             todo += [*refs, *([c.extra["shape"]] if "shape" in c.extra else []), *c.extra.get("siblings", ())]
         for kind in ("class", "node", "subjectsOf", "objectsOf"):
             d.targets += [Target(kind, o) for o in g.objects(s, sh("target" + kind[0].upper() + kind[1:]))]
+        for o in g.objects(s, sh("target")):
+            if (q := g.value(o, sh("select"))) is not None:
+                d.targets.append(Target("sparql", parts(q)[1], prefixes_of(g, o)))
         if s.startswith("<") and any(_is_class(g, t, classes) for t in g.objects(s, TYPE)):
             d.targets.append(Target("class", s))
     return schema
@@ -251,6 +266,34 @@ def _siblings(g: Graph) -> dict[str, list[str]]:
     return out
 
 
+def prefixes_of(g: Graph, node: str) -> tuple[tuple[str, str], ...]:
+    """Prefixes of the document and those that sh:prefixes declares, imports followed."""
+    found, todo, seen = dict(g.prefixes), list(g.objects(node, sh("prefixes"))), set()
+    while todo:
+        x = todo.pop()
+        if x in seen:
+            continue
+        seen.add(x)
+        todo += g.objects(x, "<http://www.w3.org/2002/07/owl#imports>")
+        for d in g.objects(x, sh("declare")):
+            found[parts(g.value(d, sh("prefix")))[1]] = parts(g.value(d, sh("namespace")))[1]
+    return tuple(sorted(found.items()))
+
+
+def checked(text: str, prefixes: tuple[tuple[str, str], ...]) -> str:
+    """A query that may be run with pre-bound variables: no MINUS, SERVICE or VALUES."""
+    from shapeloom.plans import sparql
+
+    def walk(x) -> None:
+        if isinstance(x, sparql.Minus_ | sparql.Values_):
+            raise ValueError("MINUS and VALUES cannot be used with pre-bound variables")
+        for y in getattr(x, "parts", None) or getattr(x, "groups", None) or [z for z in (getattr(x, "group", None), getattr(x, "where", None)) if z is not None]:
+            walk(y)
+
+    walk(sparql.parse(text, dict(prefixes)))
+    return text
+
+
 def _fill(g: Graph, d: Definition, siblings: dict[str, list[str]]) -> None:
     s = d.id
     lexical = lambda t: parts(t)[1]
@@ -304,6 +347,14 @@ def _fill(g: Graph, d: Definition, siblings: dict[str, list[str]]) -> None:
     for name in ("and", "or", "xone"):
         for o in g.objects(s, sh(name)):
             add(name.capitalize(), tuple(g.items(o)))
+    for o in g.objects(s, sh("sparql")):
+        if (query := g.value(o, sh("select"))) is not None and not any(lexical(x) == "true" for x in g.objects(o, sh("deactivated"))):
+            from shapeloom.plans.paths import render as shown
+
+            prefixes = prefixes_of(g, o)
+            text = lexical(query).replace("$PATH", shown(d.path, False) if d.path is not None else "$PATH")
+            note = g.value(o, sh("message"))
+            add("SPARQL", checked(text, prefixes), prefixes=prefixes, message=lexical(note) if note else None)
     q = g.value(s, sh("qualifiedValueShape"))
     if q is not None and d.path is not None:
         extra = {"shape": q, "siblings": tuple(dict.fromkeys(siblings.get(s, ()))) if true("qualifiedValueShapesDisjoint") else ()}
@@ -426,6 +477,8 @@ def render(s: Shape) -> str:
         return "true"
     if isinstance(s, Ref):
         return f"@{s.name}"
+    if isinstance(s, Sparql):
+        return f"sparql({' '.join(s.text.split())})"
     if isinstance(s, Test):
         return f"{s.facet}({s.value})"
     if isinstance(s, Closed):
