@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from shapeloom.operators import report
 from shapeloom.plans.shapes import Schema, lower
+from shapeloom.sources import formats
 from shapeloom.sources.terms import SH, Graph
 from shapeloom.sources.triples import TripleTable
-from shapeloom.sources.turtle import parse
 
 
 def load(source) -> Graph:
-    """A graph from Turtle text, a file path, a Graph, or a list of these (united)."""
+    """A graph from a text, a file path or address, a Graph, or a list of these (united)."""
     if isinstance(source, Graph):
         return source
     if isinstance(source, list | tuple):
@@ -24,10 +24,8 @@ def load(source) -> Graph:
             out = out.union(load(x))
         return out
     text = source.decode() if isinstance(source, bytes) else str(source)
-    if "\n" not in text and text.rsplit(".", 1)[-1] in ("ttl", "nt", "n3"):
-        with open(text, encoding="utf-8") as f:
-            text = f.read()
-    return parse(text)
+    is_name = "\n" not in text and (text.startswith(("http://", "https://")) or text.rsplit(".", 1)[-1].lower() in formats.EXTENSIONS)
+    return formats.read(text) if is_name else formats.parse(text)
 
 
 @dataclass

@@ -21,6 +21,8 @@ class Top(Shape):
 class Test(Shape):
     """A facet of the node itself; ``in`` with one member is equality with a term."""
 
+    __test__ = False  # not a test case
+
     facet: str
     value: object
 

@@ -86,6 +86,9 @@ class _Parser:
                 self.next()
                 self.base = self.resolve(self.next()[1])
                 self.directive_end(kind)
+            elif self.take("{"):  # the default graph of a TriG document
+                while not self.take("}"):
+                    self.statement(inside=True)
             else:
                 self.statement()
         return self.graph
@@ -94,13 +97,15 @@ class _Parser:
         if kind == "at":
             self.expect(".")
 
-    def statement(self) -> None:
+    def statement(self, inside: bool = False) -> None:
         if self.peek() == "{" or (self.tokens[self.i + 1] == ("mark", "{")):
             raise TurtleError("named graphs are not supported")
         bracket = self.peek() == "["
         subject = self.node()
-        if not (bracket and self.peek() == "."):
+        if not (bracket and self.peek() in (".", "}")):
             self.properties(subject)
+        if inside and self.peek() == "}":
+            return
         if self.peek() != ".":
             raise TurtleError(f"expected '.', found {self.peek()!r} (a fourth term names a graph, which is not supported)")
         self.expect(".")
@@ -121,7 +126,7 @@ class _Parser:
                 return
             while self.take(";"):
                 pass
-            if self.peek() in (".", "]"):
+            if self.peek() in (".", "]", "}"):
                 return
 
     def resolve(self, ref: str) -> str:

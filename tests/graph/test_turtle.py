@@ -48,3 +48,19 @@ def test_stratification():
     with pytest.raises(NotStratified):
         strata(loop("sh:not [ sh:property [ sh:path ex:p ; sh:minCount 1 ; sh:node ex:S ] ]"))
     assert isinstance(Graph(), Graph)
+
+
+def test_rdfxml_and_detection():
+    from shapeloom.sources import formats
+
+    xml = """<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:ex="http://ex/" xml:base="http://base/">
+      <ex:C rdf:about="a" ex:note="n"><ex:p rdf:resource="#b"/><ex:q rdf:datatype="http://www.w3.org/2001/XMLSchema#int">5</ex:q><ex:l xml:lang="en">hi</ex:l>
+        <ex:items rdf:parseType="Collection"><rdf:Description rdf:about="http://ex/x"/></ex:items><ex:r rdf:parseType="Resource"><ex:z>1</ex:z></ex:r></ex:C></rdf:RDF>"""
+    g = formats.parse(xml)
+    a = "<http://base/a>"
+    assert g.value(a, "<http://ex/p>") == "<http://base/#b>" and g.value(a, "<http://ex/l>") == '"hi"@en' and g.value(a, "<http://ex/note>") == '"n"'
+    assert g.value(a, "<http://ex/q>") == '"5"^^<http://www.w3.org/2001/XMLSchema#int>' and g.items(g.value(a, "<http://ex/items>")) == ["<http://ex/x>"]
+    assert g.value(g.value(a, "<http://ex/r>"), "<http://ex/z>") == '"1"'
+    assert len(formats.parse("{ <a> <b> <c> . <a> <b> 1 }")) == 2 and formats.detect("", "x.rdf") == "xml" and formats.detect("", "", "text/turtle; charset=utf-8") == "turtle"
+    with pytest.raises(TurtleError):
+        formats.parse("<g> { <a> <b> <c> }")
