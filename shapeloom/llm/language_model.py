@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.llm.common import Block, blocks, discard, materialize, mix, prefix_hash, range_hash, release, tune
+from shapeloom.llm.common import Block, blocks, discard, materialize, prefix_hash, range_hash, release, tune
 
 CLASSES = SLOTS = 32
 OWN = 512

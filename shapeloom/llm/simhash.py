@@ -44,11 +44,11 @@ ROTATIONS = ((0, 21), (21, 21), (42, 22))
 HOT = 1 << 20
 _SUB_BITS = 8
 #: Node pairs that are expanded at once; bounds a task's memory.
-_FRONTIER = 1 << 16
+_FRONTIER = 1 << 15
 #: A pair of nodes with so few pairs of leaves is compared leaf by leaf.
 _DIRECT = 16
 #: Pairs of leaves that are compared at once.
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
 
 
 # ---------------------------------------------------------------- fingerprints

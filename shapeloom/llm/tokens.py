@@ -39,7 +39,7 @@ END_ID = 2
 #: Text bytes that are tokenized at once; the more, the fewer look-ups of frequent words.
 PIECE_BYTES = 2 << 20
 #: Distinct words whose ids a Python worker keeps; when it is full, words that came in one block only go.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 750_000
 #: Documents in a shard, about; a shard is a range of doc_id and a task.
 SHARD_ROWS = 4096
 

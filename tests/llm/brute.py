@@ -51,8 +51,7 @@ def chat(rows):
 def simhash(text):
     import xxhash
 
-    w = (text or "").encode()
-    w = WORD.findall(w.lower().decode()) if False else w.lower().split()
+    w = (text or "").encode().lower().split()
     shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
     h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
