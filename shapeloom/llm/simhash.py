@@ -15,7 +15,9 @@ A task returns a spanning forest of its links, fewer than the fingerprints that
 
 ``near_groups`` links texts by the similarity of their shingle sets instead (five words, 0.8 or
 more): fingerprints of such texts differ in too many bits for one trie, so that tries over random
-samples of a longer sketch find candidates, which the whole sketches then settle.
+samples of a longer sketch find candidates, whose shingle sets are then compared.  First only a forest
+of candidates is compared; where that leaves what candidates connect in several groups, all sets
+of these are compared with each other.
 
 Defined results: a null text is an empty one; texts without words have the fingerprint zero,
 which links like any other; a text of fewer words than a shingle is one shingle; a component's
@@ -196,14 +198,18 @@ class Forest:
                 return up
             self.parent = up
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+    def add(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+        """The pairs that joined two trees."""
         r = self.labels()
         apart = r[i] != r[j]
         i, j = i[apart], j[apart]
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = self.root(x), self.root(y)
+        used = []
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = self.root(p), self.root(q)
             if x != y:
                 self.parent[max(x, y)] = min(x, y)
+                used.append((p, q))
+        return used
 
 
 def _spanning(v: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,31 +284,41 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataF
 
 # ---------------------------------------------------------------- similar texts: tries over samples of a longer sketch
 
-#: Five-word shingles, and the bits of a sketch that texts of similarity 0.8 (Jaccard) differ in, of SKETCH_WORDS * 64: two
-#: sets of similarity s have cosine 2 s / (1 + s), and a bit differs with probability arccos(cosine) / pi, 58 of 384 at 0.8.
+#: Five-word shingles, and the bits of a sketch that candidates may differ in, of SKETCH_WORDS * 64: two sets of similarity
+#: s have cosine 2 s / (1 + s), and a bit differs with probability arccos(cosine) / pi, 58 +- 7 of 384 at 0.8.
 NEAR_SHINGLE = 5
+#: Numerator and denominator of the least similarity of a link.
+NEAR = (4, 5)
+#: Sets of a group that a task compares with each other.
+BLOCK = 4096
 SKETCH_WORDS = 6
-NEAR_BITS = 62
+NEAR_BITS = 85
 #: Every table reads SAMPLED random bits of the sketch into a trie; pairs agree in the first EXACT of them, which name the
-#: task, and differ in BUDGET of the rest.  A pair at 0.8 is in one table with probability 0.13, so in one of TABLES with 0.99.
-TABLES, SAMPLED, EXACT, BUDGET = 32, 32, 8, 3
+#: task, and differ in BUDGET of the rest.  A pair that differs in 58 bits is in one table with probability 0.19, so in one
+#: of TABLES with 0.999; one that differs in 72 bits with 0.97.
+TABLES, SAMPLED, EXACT, BUDGET = 32, 32, 8, 4
 _SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
 
 
-def sketches(texts: list[bytes], k: int) -> np.ndarray:
-    """SKETCH_WORDS fingerprints of each text, from independent hashes of its shingles."""
-    out = np.zeros((len(texts), SKETCH_WORDS), np.uint64)
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.array(shingle_hashes(text, k), np.uint64))
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """SKETCH_WORDS fingerprints of each array of shingle hashes, from independent hashes of these."""
+    out = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
     at = 0
-    while at < len(texts):
+    while at < len(sets):
         held, size, first = [], 0, at
-        while at < len(texts) and size < 100_000:
-            held.append(shingle_hashes(texts[at], k))
+        while at < len(sets) and size < 100_000:
+            held.append(sets[at])
             size += len(held[-1])
             at += 1
         n = np.array([len(h) for h in held])
         rows = np.flatnonzero(n) + first
         n = n[n > 0]
-        flat = np.fromiter((x for h in held for x in h), np.uint64, size)
+        flat = np.concatenate(held)
         for j in range(SKETCH_WORDS if len(n) else 0):
             h = mix(flat + np.uint64(j * 0x9E3779B97F4A7C15 & (2**64 - 1))) if j else flat
             bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -314,8 +330,12 @@ def sketches(texts: list[bytes], k: int) -> np.ndarray:
 def _sketch_rows(k: int):
     def run(batches):
         for batch in batches:
-            found = sketches([b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()], k).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, j])) for j in range(SKETCH_WORDS))], ["doc_id", *_SKETCH])
+            texts = [np.array(shingle_hashes(b or b"", k), np.uint64) for b in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [np.unique(x) for x in texts]
+            fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            found = sketches(texts).view(np.int64)
+            words = (pa.array(np.ascontiguousarray(found[:, j])) for j in range(SKETCH_WORDS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:4], pa.array(fp), *words], ["doc_id", "h1", "h2", "fp", *_SKETCH])
 
     return run
 
@@ -330,16 +350,16 @@ def _tables(batches):
             for x in pick:
                 v = v << np.uint64(1) | (words[:, x // 64] >> np.uint64(x % 64)) & np.uint64(1)
             task = (t << EXACT) + (v >> np.uint64(SAMPLED - EXACT)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array((v << np.uint64(63 - SAMPLED)).view(np.int64)), *batch.columns], ["task", "v", "fp", *_SKETCH])
+            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array((v << np.uint64(63 - SAMPLED)).view(np.int64)), *batch.columns], ["task", "v", *batch.schema.names])
 
 
 def _near_join(most: int):
-    """Rows sorted by (task, v) -> links (a, b) of fps whose sketches differ in ``most`` bits at most: a forest for each stretch of tasks."""
+    """Rows sorted by (task, v) -> a forest of pairs (a, b) of fps whose sketches differ in ``most`` bits at most, for each stretch of tasks."""
 
-    def links_of(parts):
+    def pairs_of(parts):
         task, v, fp = (np.concatenate([np.asarray(p[k]) for p in parts]) for k in range(3))
         words = np.stack([np.concatenate([np.asarray(p[3 + j]) for p in parts]) for j in range(SKETCH_WORDS)], axis=1).view(np.uint64)
-        forest = Forest(len(v))
+        forest, used = Forest(len(v)), []
 
         def check(i, j):
             r = forest.labels()
@@ -347,14 +367,14 @@ def _near_join(most: int):
             i, j = i[apart], j[apart]
             for x in range(0, len(i), 1 << 17):
                 p, q = i[x : x + (1 << 17)], j[x : x + (1 << 17)]
-                near = np.bitwise_count(words[p] ^ words[q]).sum(axis=1) <= most
-                forest.add(p[near], q[near])
+                bits = np.bitwise_count(words[p] ^ words[q]).sum(axis=1)
+                near = np.flatnonzero(bits <= most)
+                near = near[np.argsort(bits[near], kind="stable")]  # the most similar first
+                used.extend(forest.add(p[near], q[near]))
 
         cuts = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(v)]])
         trie_links(v.view(np.uint64), cuts, 1 + EXACT, BUDGET, check)
-        r = forest.labels()
-        at = np.flatnonzero(r != np.arange(len(r)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[r[at]])], ["a", "b"])
+        return _pairs(fp, used)
 
     def run(batches):
         held, size = [], 0
@@ -367,24 +387,155 @@ def _near_join(most: int):
             last = int(np.searchsorted(task, task[-1], "left"))
             if last == 0 and len(held) == 1:
                 continue
-            yield links_of([*held[:-1], [c.slice(0, last) for c in now]])
+            yield pairs_of([*held[:-1], [c.slice(0, last) for c in now]])
             held, size = [[c.slice(last) for c in now]], len(task) - last
         if held:
-            yield links_of(held)
+            yield pairs_of(held)
 
     return run
 
 
-def near_groups(docs: DataFrame, k: int = NEAR_SHINGLE, most: int = NEAR_BITS) -> DataFrame:
-    """doc_id, fp (of the sketch), component_id: texts whose shingle sets have an estimated similarity of 0.8 or more are linked."""
+def _pairs(fp: np.ndarray, used: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Rows (a, b), a < b, of pairs of positions in ``fp``."""
+    found = np.sort(fp[np.array(used, np.int64).reshape(-1, 2)], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+
+def _all_pairs(batches):
+    """Rows (root, lo, hi, block, fp, set) sorted by the first three -> a forest of pairs (a, b) of similar sets within each group.
+
+    If lo and hi differ, only pairs of both blocks are compared.
+    """
+
+    def pairs_of(lo, hi, rows):
+        block, fp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+        order = np.argsort(block, kind="stable")
+        sets = [np.frombuffer(rows[x][2], np.uint64) for x in order]
+        block, fp = block[order], fp[order]
+        size = np.array([len(x) for x in sets])
+        ends = np.cumsum(size)
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+        has, forest, used = np.zeros(int(ids.max(initial=-1)) + 1, bool), Forest(len(sets)), []
+        second = int(np.searchsorted(block, hi))
+        for i in range(len(sets) - 1 if lo == hi else second):
+            j = max(i + 1, second) if lo != hi else i + 1
+            if j == len(sets):
+                break
+            mine = ids[ends[i] - size[i] : ends[i]]
+            has[mine] = True
+            both = np.add.reduceat(has[ids[ends[j - 1] :]], ends[j:] - size[j:] - ends[j - 1], dtype=np.int64)
+            has[mine] = False
+            for x in (np.flatnonzero(NEAR[1] * both >= NEAR[0] * (size[i] + size[j:] - both)) + j).tolist():
+                p, q = forest.root(i), forest.root(x)
+                if p != q:
+                    forest.parent[max(p, q)] = min(p, q)
+                    used.append((i, x))
+        return _pairs(fp, used)
+
+    key, rows = None, []
+    for batch in batches:
+        for root, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (root, lo, hi) != key:
+                if rows:
+                    yield pairs_of(*key[1:], rows)
+                key, rows = (root, lo, hi), []
+            rows.append(row)
+    if rows:
+        yield pairs_of(*key[1:], rows)
+
+
+def _candidates(classes: DataFrame, most: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows (fp, sketch) that connect all candidates which the tables find."""
+    columns = ", ".join(f"{c} long" for c in classes.columns)
+    tasks = classes.mapInArrow(_tables, f"task long, v long, {columns}")
+    found = tasks.repartition("task").sortWithinPartitions("task", "v").mapInArrow(_near_join(most), "a long, b long")
+    return materialize(found.distinct(), "candidates")
+
+
+def _set_rows(k: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(b or b"", k).tobytes() for b in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "set"])
+
+    return run
+
+
+def _similar(batches):
+    """Rows (a, b, shingle set of a, of b) -> pairs of similarity NEAR or more."""
+    for batch in batches:
+        good = np.zeros(batch.num_rows, bool)
+        for x, (p, q) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            good[x] = similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))
+        yield batch.select([0, 1]).filter(pa.array(good))
+
+
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets, sorted, have a Jaccard similarity of NEAR or more."""
+    (above, below), least = NEAR, min(len(p), len(q))
+    if below * least < above * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return below * both >= above * (len(p) + len(q) - both)
+
+
+def _sets(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """fp, set of the fps in pairs (a, b); one text of each is read again."""
+    fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    reps = rows.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("key")).select("fp", "key.doc_id", "key.h1", "key.h2")
+    texts = docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id) & (docs.h1 == reps.h1) & (docs.h2 == reps.h2)).select("fp", "text")
+    return materialize(texts.mapInArrow(_set_rows(k), "fp long, set binary").dropDuplicates(["fp"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of fps whose shingle sets are similar."""
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    return materialize(both.mapInArrow(_similar, "a long, b long"), "verified")
+
+
+def _closed(groups: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) enough to connect all similar sets within each group (fp, root); tasks compare at most two blocks of a group."""
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).alias("n"))
+    rows = groups.join(sizes, "root").join(sets, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), "n"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "set")
+    dealt = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    return materialize(dealt.mapInArrow(_all_pairs, "a long, b long"), "closed")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and two hashes of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
+
+
+def _near_classes(docs: DataFrame, k: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: fp, key; edges: a, b) of texts; rows of equal keys are equal texts of one doc_id."""
     tune(docs.sparkSession)
+    docs = _keyed(docs)
     columns = ", ".join(f"{c} long" for c in _SKETCH)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch_rows(k), f"doc_id long, {columns}")
-    rows = materialize(found.withColumn("fp", F.xxhash64(*_SKETCH)), "sketches")
-    distinct = rows.groupBy("fp").agg(*[F.min(c).alias(c) for c in _SKETCH])
-    tasks = distinct.select("fp", *_SKETCH).mapInArrow(_tables, f"task long, v long, fp long, {columns}")
-    linked = tasks.repartition("task").sortWithinPartitions("task", "v").mapInArrow(_near_join(most), "a long, b long")
-    return _label(rows.select("doc_id", "fp"), linked)
+    found = docs.mapInArrow(_sketch_rows(k), f"doc_id long, h1 long, h2 long, fp long, {columns}")
+    key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h1", "h2").alias("key")
+    rows = materialize(found.select("fp", key, *_SKETCH), "sketches")
+    classes = rows.groupBy("fp").agg(*[F.min(c).alias(c) for c in _SKETCH])
+    pairs = _candidates(classes, most)
+    sets = _sets(pairs, rows, docs, k)
+    edges = _verified(pairs, sets)
+    # Where the forest's pairs connect more than the verified ones do, pairs beside the forest may link as well.
+    loose, tight = materialize(connected_components(pairs), "loose"), materialize(connected_components(edges), "tight")
+    at = loose.join(tight.withColumnRenamed("root", "own"), "node", "left").select("node", "root", F.coalesce("own", "node").alias("own"))
+    split = at.groupBy("root").agg(F.min("own").alias("x"), F.max("own").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("root")
+    more = _closed(at.join(split, "root", "left_semi").select(F.col("node").alias("fp"), "root"), sets, BLOCK)
+    discard(pairs, sets, loose, tight)
+    return rows.select("fp", "key"), edges.unionByName(more)
+
+
+def near_groups(docs: DataFrame, k: int = NEAR_SHINGLE, most: int = NEAR_BITS) -> DataFrame:
+    """doc_id, fp (of the shingle set), component_id: texts whose shingle sets have a similarity of 0.8 or more are linked."""
+    rows, edges = _near_classes(docs, k, most)
+    labelled = _labels(rows.select("fp", F.col("key.doc_id").alias("doc_id")), edges, "doc_id")
+    return rows.join(labelled, "fp").select("key.doc_id", "fp", "component_id")
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -398,14 +549,19 @@ def groups(docs: DataFrame, k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataF
 
 def _label(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Component ids of rows (doc_id, fp) whose fps are linked by ``edges``."""
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    return rows.join(_labels(rows, edges, "doc_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _labels(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """fp, component_id: the least ``key`` of the rows whose fps are linked by ``edges``."""
+    classes = materialize(rows.groupBy("fp").agg(F.min(key).alias("rep")), "classes")
     found = materialize(connected_components(edges), "components")
     joined = found.join(classes, found.node == classes.fp).select("node", "root", "rep")
     lowest = joined.groupBy("root").agg(F.min("rep").alias("low"))
     linked = found.join(lowest, "root").select(F.col("node").alias("fp"), "low")
     labelled = materialize(classes.join(linked, "fp", "left").select("fp", F.least("rep", "low").alias("component_id")), "labels")
     discard(classes, found)
-    return rows.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    return labelled
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -124,3 +124,34 @@ def test_similar_texts_are_found(spark):
     assert len(near) > 300 and sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
     linked = components([p for p, s in sim.items() if s >= 0.65], [d for d, _ in docs])
     assert all(linked[d] == linked[c] for d, c in got.items())
+
+
+def linked_docs(similarities, seed):
+    """Pairs of texts (2 k, 2 k + 1) of about the similarities asked for."""
+    rng, docs = random.Random(seed), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for k, s in enumerate(similarities):
+        w = [word() for _ in range(400)]
+        lost = round(396 * (1 - s) / (1 + s))  # shingles of each that the other lacks
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[: 400 - lost], *(word() for _ in range(lost))]))]
+    return docs
+
+
+def test_links_are_exact_about_the_threshold(spark):
+    docs = linked_docs([0.74 + 0.001 * (k % 101) for k in range(606)], 21)
+    got = {r.doc_id: r.component_id for r in op.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sim = jaccard_groups(docs)
+    near = {p for p, s in sim.items() if s >= 0.8}
+    found = {(d - 1, d) for d in got if d % 2 and got[d] == got[d - 1]}
+    assert found <= near and len([p for p in near if sim[p] < 0.84]) > 150
+    assert len(found) >= 0.98 * len(near) and all(got[d] == d for d in got if d % 2 == 0)
+
+
+def test_all_pairs_of_a_group_in_blocks(spark):
+    docs = edited_copies()[:600]
+    sets = {d: op.shingle_set(t.encode(), 5) for d, t in docs}
+    want = components([p for p, s in jaccard_groups(docs).items() if s >= 0.8], sets)
+    groups = spark.createDataFrame([(d, 1) for d in sets], "fp long, root long")
+    rows = spark.createDataFrame([(d, bytearray(s.tobytes())) for d, s in sets.items()], "fp long, set binary")
+    for block in (op.BLOCK, 150):
+        assert components([tuple(r) for r in op._closed(groups, rows, block).collect()], sets) == want
