@@ -306,7 +306,7 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """SKETCH_WORDS fingerprints of each array of shingle hashes, from independent hashes of these."""
+    """SKETCH_WORDS fingerprints of each shingle set, from independent hashes of its shingles."""
     out = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
     at = 0
     while at < len(sets):
@@ -330,10 +330,9 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 def _sketch_rows(k: int):
     def run(batches):
         for batch in batches:
-            texts = [np.array(shingle_hashes(b or b"", k), np.uint64) for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            sets = [np.unique(x) for x in texts]
+            sets = [shingle_set(b or b"", k) for b in batch.column(1).cast(pa.binary()).to_pylist()]
             fp = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            found = sketches(texts).view(np.int64)
+            found = sketches(sets).view(np.int64)
             words = (pa.array(np.ascontiguousarray(found[:, j])) for j in range(SKETCH_WORDS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:4], pa.array(fp), *words], ["doc_id", "h1", "h2", "fp", *_SKETCH])
 

@@ -155,3 +155,14 @@ def test_all_pairs_of_a_group_in_blocks(spark):
     rows = spark.createDataFrame([(d, bytearray(s.tobytes())) for d, s in sets.items()], "fp long, set binary")
     for block in (op.BLOCK, 150):
         assert components([tuple(r) for r in op._closed(groups, rows, block).collect()], sets) == want
+
+
+def test_repeats_count_once(spark):
+    rng = random.Random(22)
+    docs = []
+    for k in range(40):
+        w = [f"v{k}x{x}" for x in range(270)]
+        at = rng.randrange(270)
+        docs.append((k, " ".join(w[:at] + ["filler"] * 30 + w[at:])))
+    got = op.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len({r.component_id for r in got}) == 40
