@@ -564,10 +564,13 @@ def _labels(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of similar texts: the one whose doc_id names the group."""
-    grouped = near_groups(docs.select("doc_id", "text"))
-    kept = grouped.select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._keep), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` with one document of each group of similar texts: that of the least doc_id (nulls last), then text hash."""
+    rows, edges = _near_classes(docs.select("doc_id", "text"), NEAR_SHINGLE, NEAR_BITS)
+    kept = _labels(rows, edges, "key").select("component_id.*").distinct().select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "h1", "h2")])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = docs.withColumn("_k1", F.xxhash64(text)).withColumn("_k2", F.xxhash64(text, F.lit(1)))
+    same = own.doc_id.cast("long").eqNullSafe(kept._doc_id) & (own._k1 == kept._h1) & (own._k2 == kept._h2)
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]).drop("_k1", "_k2")
 
 
 def hex_of(fp):

@@ -166,3 +166,11 @@ def test_repeats_count_once(spark):
         docs.append((k, " ".join(w[:at] + ["filler"] * 30 + w[at:])))
     got = op.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len({r.component_id for r in got}) == 40
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    text = lambda k: " ".join(f"t{k}w{x}" for x in range(50))
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0)), (None, text(1) + " end")] + [(7, text(k)) for k in range(10, 13)] + [(7, text(10)), (8, text(11)), (9, text(2))]
+    kept = op.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 9
+    assert sorted(((r.doc_id, r.text.split()[0]) for r in kept), key=str) == sorted([(None, f"t{k}w0") for k in (0, 1, 3, 4, 5)] + [(9, "t2w0")] + [(7, f"t{k}w0") for k in (10, 11, 12)], key=str)
