@@ -1,27 +1,29 @@
-"""Exact substring de-duplication by previous-occurrence arrays in suffix order.
+"""Exact substring de-duplication by longest-previous-factor arrays in suffix order.
 
 A byte is removed if a string of ``LENGTH`` bytes that covers it also starts earlier (in a
-document of smaller doc_id, or earlier in its own).  In suffix order this is the longest previous
-factor: the suffix at a position has an earlier match of LENGTH bytes if and only if its
-previous or next smaller position in suffix order shares that many bytes with it.
+document of smaller doc_id, or earlier in its own).  The longest previous factor of a suffix is
+the longest prefix that it shares with any suffix of smaller position; it is shared with the
+nearest suffix of smaller position before or behind it in suffix order.  A string of LENGTH bytes
+starts earlier if and only if the longest previous factor at its start is LENGTH or more.
 
-A corpus has too many suffixes to send around, so they are sorted in buckets, in three steps:
+A corpus has too many suffixes for one order, so they are sorted in buckets, in three steps:
 
 1. Anchors.  The window of LENGTH bytes at every position has an anchor, its GRAM-byte gram of
    the least hash (leftmost of equals).  Equal windows have equal grams at equal places, so
    that matching windows meet in the bucket of their gram.  Neighbouring windows with the same
-   anchor form a run; a run is sent as one row of hashes, not bytes: about one for forty bytes.
-2. Runs.  Equal runs in a bucket are copies of the first of them.  The first run of each kind
-   has nothing to be compared with unless its bucket has runs of another kind.
-3. Suffixes.  Only first runs of mixed buckets are sent with their bytes.  Their windows are put
-   in suffix order and each is removed that has a smaller position at LENGTH shared bytes.
+   anchor form a run, of about thirty windows.  A bucket of one run has no match and is dropped.
+2. Runs.  The bytes of the other runs are cut.  A run whose bytes equal those of a run of smaller
+   position in its bucket is removed whole, first in the task that cuts it, then in its bucket.
+3. Suffixes.  Where a bucket has runs of several kinds, the suffixes at their windows are put
+   in suffix order with the lengths of common prefixes of neighbours, the previous and next smaller
+   positions give the longest previous factors, and windows of LENGTH or more are removed.
 
-Runs are recognised by 128 bits of hashes; windows of mixed buckets are compared byte by byte.
-Copies within a task are settled before anything is sent, so that a bucket gets a row per task
-for a kind of run at most.  Mixed buckets with over ``HOT`` runs are dealt by the hash of each window.
+Hashes only bring together what may be equal; equality is always that of bytes.  Buckets of over
+``HOT`` runs are dealt window by window, so that a gram that a third of all texts hold is spread; a
+task sends each kind of run, or window, once.
 
 Defined results: a null text has no bytes; texts shorter than LENGTH stay whole; a null doc_id
-comes first; rows of equal doc_id are ordered by the hash of their text; rows of equal doc_id and
+comes first; rows of equal doc_id are ordered by the SHA-256 of their text; rows of equal doc_id and
 text are one document and all get its result; an empty table gives no rows; extra columns are
 ignored.
 """
@@ -30,16 +32,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.llm.common import blocks, materialize, mix, prefix_hash, range_hash, release, tune
+from shapeloom.llm.common import blocks, discard, materialize, mix, prefix_hash, range_hash, release, tune
 
 LENGTH = 100
 GRAM = 40
-#: Runs that a task holds before it settles copies among them and sends the rest on.
-HELD_RUNS = 500_000
-HOT = 1 << 15
+#: Bytes of runs that a task holds before it settles copies among them and sends the rest on.
+HELD_BYTES = 24 << 20
+#: Grams that a counting task holds before it sends them on.
+HELD_GRAMS = 1_000_000
+HOT = 1 << 11
 
 # ---------------------------------------------------------------- runs
 
@@ -55,13 +60,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the texts in a buffer: (text, start in it, windows, gram hash, run hash) of every run."""
+    """Of the texts in a buffer: (text, start in it, windows, gram hash) of every run."""
     size = np.diff(off)
     empty = np.zeros(0, np.int64)
     if len(buf) < LENGTH or not (size >= LENGTH).any():
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    prefix = prefix_hash(buf)
-    sums, ip = prefix
+        return empty, empty, empty, empty.view(np.uint64)
+    sums, ip = prefix_hash(buf)
     grams = len(buf) - GRAM + 1
     h = mix((sums[GRAM:] - sums[:-GRAM]) * ip[:grams])
     # The position makes the leftmost of equal grams the least; a block is far smaller than 2^26.
@@ -77,66 +81,174 @@ def runs_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     start, n = at[first], np.diff(np.append(first, len(at)))
     text = np.searchsorted(off, start, "right") - 1
-    run = range_hash(prefix, start, start + n - 1 + LENGTH) ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return text, start - off[text], n, h[anchor[first]], run
+    return text, start - off[text], n, h[anchor[first]]
 
 
-def _runs(batches):
-    """Rows (doc_id, text) -> (gram, run, doc_id, at): at is start << 8 | windows << 1 | known to be a copy."""
-    held: list[tuple[np.ndarray, ...]] = []
-    count = 0
+def _grams(batches):
+    """Rows (text) -> (gram, n): how many runs have each gram, once for each time that the task's list is full."""
+    held, size = [], 0
 
-    def settle():
-        gram, run, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    def fold():
+        gram, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        order = np.lexsort((at, doc, run, gram))
-        gram, run, doc, at = gram[order], run[order], doc[order], at[order]
-        copy = np.concatenate([[False], (gram[1:] == gram[:-1]) & (run[1:] == run[:-1])])
-        alone = mix(doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + at.astype(np.uint64))
-        gram, run = np.where(copy, alone, gram), np.where(copy, np.uint64(0), run)
-        back = np.lexsort((at, doc))  # neighbours compress well
-        return pa.RecordBatch.from_arrays([pa.array(x[back]) for x in (gram.view(np.int64), run.view(np.int64), doc, at | copy)], ["gram", "run", "doc_id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    for batch in batches:
+        for block in blocks(batch.column(0)):
+            held.append(runs_of(block.buf, block.off)[3])
+            size += len(held[-1])
+        if size > HELD_GRAMS:
+            yield fold()
+            size = 0
+    if held:
+        yield fold()
+
 
+def _runs(batches):
+    """Rows (doc_id, text) -> (gram, doc_id, at) of every run; at is start << 8 | windows."""
     for batch in batches:
         docs = np.asarray(batch.column(0))
         for block in blocks(batch.column(1)):
-            text, start, n, gram, run = runs_of(block.buf, block.off)
-            held.append((gram, run, docs[block.first + text], start << 8 | n << 1))
-            count += len(text)
-        if count >= HELD_RUNS:
-            yield settle()
-            count = 0
-    if held:
-        yield settle()
+            text, start, n, gram = runs_of(block.buf, block.off)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(docs[block.first + text]), pa.array(start << 8 | n)], ["gram", "doc_id", "at"])
+
+
+# ---------------------------------------------------------------- equal runs
+
+_CUT = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
+
+
+class Firsts:
+    """The run of the least position of each kind (bucket, bytes); all others are copies."""
 
+    def __init__(self):
+        self.kinds: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.copies: list[tuple[int, int]] = []
+        self.size = 0
 
-# ---------------------------------------------------------------- suffixes of mixed buckets
+    def add(self, gram: int, data: bytes, position: tuple[int, int]) -> None:
+        old = self.kinds.get((gram, data))
+        if old is None:
+            self.kinds[gram, data] = position
+            self.size += len(data)
+        elif old <= position:
+            self.copies.append(position)
+        else:
+            self.copies.append(old)
+            self.kinds[gram, data] = position
 
 
-def previous_matches(windows: np.ndarray, bucket: np.ndarray, position: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Which windows occur at a smaller position in their bucket.
+def _cut(batches):
+    """Rows (doc_id, text, wanted: list of (gram, at, hot)) -> (gram, doc_id, at, data).
 
-    ``windows``: one row of LENGTH bytes each.  In suffix order, equal windows are neighbours,
-    and the previous or next smaller position at LENGTH shared bytes lies among them: every window
-    but the one of the least position has one.
+    Runs of hot buckets become windows in buckets of their own.  Rows without data are known to be copies.
     """
-    suffix = np.ascontiguousarray(windows).view(np.dtype((np.void, windows.shape[1])))[:, 0]
-    _, rank = np.unique(suffix, return_inverse=True)
-    order = np.lexsort((*position[::-1], rank, bucket))
-    r, b = rank[order], bucket[order]
-    out = np.zeros(len(order), bool)
-    out[order[1:]] = (r[1:] == r[:-1]) & (b[1:] == b[:-1])
+    firsts = Firsts()
+
+    def flush():
+        kinds, copies = firsts.kinds, firsts.copies
+        where = [*kinds.values(), *copies]
+        doc, at = (np.array([w[k] for w in where], np.int64) for k in (0, 1))
+        spread = mix(doc.view(np.uint64) ^ at.view(np.uint64) << np.uint64(20)).view(np.int64)
+        gram = np.concatenate([np.array([k[0] for k in kinds], np.int64), spread[len(kinds) :]])
+        data = pa.array([*(k[1] for k in kinds), *[None] * len(copies)], pa.binary())
+        firsts.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(at), data], schema=_CUT)
+
+    for batch in batches:
+        wanted = batch.column(2)
+        gram, at, hot = (np.asarray(wanted.flatten().field(k)) if k < 2 else wanted.flatten().field(k).to_pylist() for k in range(3))
+        gram, at, x = gram.tolist(), at.tolist(), 0
+        for doc, text, count in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), np.diff(np.asarray(wanted.offsets)).tolist(), strict=True):
+            for k in range(x, x + count):
+                a = at[k]
+                start, n = a >> 8, a & 255
+                if not hot[k]:
+                    firsts.add(gram[k], text[start : start + n - 1 + LENGTH], (doc, a))
+                    continue
+                for s in range(start, start + n):
+                    data = text[s : s + LENGTH]
+                    own = gram[k] ^ xxhash.xxh64_intdigest(data)
+                    firsts.add((own + (1 << 63)) % (1 << 64) - (1 << 63), data, (doc, s << 8 | 1))
+            x += count
+            if firsts.size > HELD_BYTES or len(firsts.copies) > 500_000:
+                yield flush()
+    if firsts.kinds:
+        yield flush()
+
+
+# ---------------------------------------------------------------- suffixes of buckets with several kinds of runs
+
+
+def word_columns(windows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as columns of 64-bit words, whose order is that of the bytes."""
+    width = -(-windows.shape[1] // 8) * 8
+    rows = np.zeros((len(windows), width), np.uint8)
+    rows[:, : windows.shape[1]] = windows
+    return list(np.ascontiguousarray(rows.view(">u8").astype(np.uint64).T))
+
+
+def suffix_order(columns: list[np.ndarray], bucket: np.ndarray, position: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): suffixes by bucket, then bytes, then position; bytes that each shares with the one before it (of its bucket)."""
+    order = np.lexsort((position, *columns[::-1], bucket))
+    lcp, same = np.zeros(len(order), np.int64), np.ones(max(0, len(order) - 1), bool)
+    same &= bucket[order[1:]] == bucket[order[:-1]]
+    for c in columns:
+        x = c[order[1:]] ^ c[order[:-1]]
+        agree = sum((x < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 9))  # leading bytes of the word
+        lcp[1:] += np.where(same, agree, 0)
+        same &= x == 0
+    return order, np.minimum(lcp, depth)
+
+
+def nearest_smaller(position: np.ndarray, lcp: np.ndarray, floor: int, back: bool) -> np.ndarray:
+    """For each place in suffix order, the bytes shared with the nearest suffix of smaller position before it (or behind it).
+
+    ``lcp[k]``: bytes shared by k - 1 and k.  A place points past places of greater positions; pointers of
+    pointers double their reach.  Search ends where fewer than ``floor`` bytes are shared; such values are 0.
+    """
+    n, floor = len(position), max(floor, 1)
+    place = np.arange(n)
+    if back:
+        to, shared = place - 1, lcp.copy()
+    else:
+        to, shared = place + 1, np.append(lcp[1:], 0) if n else lcp.copy()
+    end = (to < 0) | (to >= n) | (shared < floor)
+    shared[end] = 0
+    todo = np.flatnonzero(~end)
+    todo = todo[position[to[todo]] > position[todo]]
+    while len(todo):
+        over = to[todo]
+        shared[todo] = np.minimum(shared[todo], shared[over])
+        to[todo] = to[over]
+        gone = (shared[todo] < floor) | (to[todo] < 0) | (to[todo] >= n)
+        shared[todo[gone]] = 0
+        todo = todo[~gone]
+        todo = todo[position[to[todo]] > position[todo]]
+    return shared
+
+
+def longest_previous_factors(windows: np.ndarray, bucket: np.ndarray, position: np.ndarray, floor: int = 1) -> np.ndarray:
+    """Longest prefix (at most the width of ``windows``, rows of bytes) that each shares with one of smaller position in its bucket.
+
+    Values below ``floor`` are 0.
+    """
+    order, lcp = suffix_order(word_columns(windows), bucket, position, windows.shape[1])
+    at = position[order]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(nearest_smaller(at, lcp, floor, True), nearest_smaller(at, lcp, floor, False))
     return out
 
 
-def _settle_buckets(gram, doc, at, data) -> pa.RecordBatch:
-    start, n = at >> 8, (at >> 1) & 127
+def _settle_buckets(gram, doc, at, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, at) of the windows with a previous factor of LENGTH bytes, of runs of different bytes in buckets of several."""
+    start, n = at >> 8, at & 255
     flat = np.frombuffer(b"".join(data), np.uint8)
     base = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     place = base[row] + step
-    # Windows whose hash is alone in the bucket have no equal; only the rest is sorted by its bytes.
+    # A window whose hash is alone in its bucket has no equal, and so no factor of LENGTH bytes.
     h = range_hash(prefix_hash(flat), place, place + LENGTH) ^ gram[row].view(np.uint64)
     order = np.argsort(h, kind="stable")
     twin = np.zeros(len(h) + 1, bool)
@@ -145,68 +257,58 @@ def _settle_buckets(gram, doc, at, data) -> pa.RecordBatch:
     gone = np.zeros(len(h), bool)
     if len(todo):
         r = row[todo]
+        rank = np.empty(len(todo), np.int64)
+        rank[np.lexsort((start[r] + step[todo], doc[r]))] = np.arange(len(todo))
         windows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[place[todo]]
-        gone[todo] = previous_matches(windows, gram[r], (doc[r], start[r] + step[todo]))
+        gone[todo] = longest_previous_factors(windows, gram[r], rank, LENGTH) >= LENGTH
     # consecutive windows of a run as one piece
     first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (gone[1:] != gone[:-1])]))
     long = np.diff(np.append(first, len(row)))
     take = gone[first]
     first, long = first[take], long[take]
-    return pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array((start[row[first]] + step[first]) << 8 | long << 1)], ["doc_id", "at"])
+    return doc[row[first]], (start[row[first]] + step[first]) << 8 | long
 
 
 def _suffixes(batches):
-    """Rows (gram, doc_id, at, data) sorted by gram -> (doc_id, at) of windows that occur earlier."""
-    held: list = []
-
-    def flush(rows):
-        gram, doc, at = (np.concatenate([np.asarray(r[k]) for r in rows]) for k in range(3))
-        return _settle_buckets(gram, doc, at, [x for r in rows for x in r[3].to_pylist()])
-
-    size = 0
+    """Rows (gram, doc_id, at, data) sorted by gram -> (doc_id, at) of windows that occur earlier; rows without data are copies."""
+    firsts = Firsts()
+
+    def flush():
+        gram = np.array([k[0] for k in firsts.kinds], np.int64)
+        order = np.argsort(gram, kind="stable")
+        same = gram[order[1:]] == gram[order[:-1]]
+        several = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(gram) else order
+        copies = np.array(firsts.copies, np.int64).reshape(-1, 2)
+        doc, at = copies[:, 0], copies[:, 1]
+        if len(several):
+            where = np.array(list(firsts.kinds.values()), np.int64)[several]
+            kinds = list(firsts.kinds)
+            more = _settle_buckets(gram[several], where[:, 0], where[:, 1], [kinds[k][1] for k in several.tolist()])
+            doc, at = np.concatenate([doc, more[0]]), np.concatenate([at, more[1]])
+        firsts.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(doc)), pa.array(np.ascontiguousarray(at))], ["doc_id", "at"])
+
+    last = None
     for batch in batches:
-        part = [batch.column(k) for k in range(4)]
-        gram = np.asarray(part[0])
-        held.append(part)
-        size += len(gram)
-        if size < 4000 or not len(gram) or gram[-1] == np.asarray(held[0][0])[0]:
-            continue
-        last = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
-        yield flush([*held[:-1], [x.slice(0, last) for x in part]])
-        held = [[x.slice(last) for x in part]]
-        size = len(gram) - last
-    if held:
-        yield flush(held)
+        for gram, doc, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if gram != last and (firsts.size > HELD_BYTES // 16 or len(firsts.copies) > 100_000):
+                yield flush()
+            last = gram
+            if data is None:
+                firsts.copies.append((doc, at))
+            else:
+                firsts.add(gram, data, (doc, at))
+    yield flush()
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def _cut(hot: set[int]):
-    """Rows (doc_id, text, wanted: list of (gram, at)) -> (gram, doc_id, at, data); runs of hot buckets window by window."""
-
-    def run(batches):
-        for batch in batches:
-            gram, doc, at, data = [], [], [], []
-            for d, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for w in wanted:
-                    start, n = w["at"] >> 8, (w["at"] >> 1) & 127
-                    step = 1 if w["gram"] in hot else n
-                    for x in range(start, start + n, step):
-                        gram.append(w["gram"])
-                        doc.append(d)
-                        at.append(x << 8 | step << 1)
-                        data.append(text[x : x + step - 1 + LENGTH])
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(data, pa.binary())], ["gram", "doc_id", "at", "data"])
-
-    return run
-
-
 def removed_ranges(ats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed byte ranges of a document from its pieces."""
     a = np.sort(ats)
     start = a >> 8
-    end = start + ((a >> 1) & 127) - 1 + LENGTH
+    end = start + (a & 255) - 1 + LENGTH
     reach = np.maximum.accumulate(end)
     new = np.concatenate([[True], start[1:] > reach[:-1]])
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
@@ -232,7 +334,7 @@ def _clean(batches):
 
 
 def with_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ``docs`` with uid, distinct documents (uid, text)): uid orders by doc_id, then by text hash.
+    """(rows of ``docs`` with uid, distinct documents (uid, text)): uid orders by doc_id, then by text digest.
 
     Where doc_ids are unique, which is checked, uid is doc_id.  Otherwise rows of equal doc_id and
     text are one document, and uids are numbered in order.
@@ -241,7 +343,7 @@ def with_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if (counts[0] or 0) <= 1 and not counts[1]:
         rows = docs.select("doc_id", F.col("doc_id").alias("uid"), "text")
         return rows, rows.select("uid", "text")
-    keyed = docs.withColumn("tie", F.xxhash64("text"))
+    keyed = docs.withColumn("tie", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ids = keyed.select("doc_id", "tie").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
     ids = materialize(ids.select("doc_id", "tie", F.monotonically_increasing_id().alias("uid")), "uids")
@@ -253,30 +355,22 @@ def with_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def removable(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, at) pieces of runs whose windows all occur earlier, of ``docs`` (doc_id: unique longs, text)."""
     spark = docs.sparkSession
-    rows = docs.mapInArrow(_runs, "gram long, run long, doc_id long, at long")
-    bucket = Window.partitionBy("gram")
-    copy = F.coalesce(F.lag("run").over(bucket.orderBy("run", "doc_id", "at")) == F.col("run"), F.lit(False))
-    known = F.col("at").bitwiseAND(F.lit(1)) == 1
-    marked = rows.select("gram", "doc_id", "at", (copy | known).alias("copy"), (F.min("run").over(bucket) != F.max("run").over(bucket)).alias("mixed"))
-    settled = materialize(marked.where("copy or mixed").select("gram", "doc_id", "at", "copy"), "runs")
-    del rows, marked
+    counts = docs.select("text").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = materialize(counts.select("gram", (F.col("n") > hot).alias("hot")), "grams")
+    del counts
+    release(spark)
+    rows = docs.mapInArrow(_runs, "gram long, doc_id long, at long")
+    shared = materialize(rows.join(repeated, "gram").select("gram", "doc_id", "at", "hot"), "runs")  # a skewed gram is split by Spark
+    del rows
     release(spark)
-    mixed = settled.where("not copy")
-    hot_grams = {r["gram"] for r in mixed.groupBy("gram").count().where(F.col("count") > hot).select("gram").collect()}  # fewer than runs / hot
-    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "at")).alias("wanted"))  # of one document
-    cut = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut(hot_grams), "gram long, doc_id long, at long, data binary")
-    if hot_grams:
-        cut = materialize(cut, "cut")
-        is_hot = F.col("gram").isin(sorted(hot_grams))
-        single = cut.where(is_hot)
-        first = single.groupBy("gram", "data").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-        more = single.join(first, ["gram", "data"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at")
-        cut = cut.where(~is_hot)
-    dealt = cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_suffixes, "doc_id long, at long")
-    pieces = materialize(dealt.unionByName(more) if hot_grams else dealt, "suffixes")
-    del cut, dealt
+    wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "at", "hot")).alias("wanted"))  # of one document
+    cut = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut, "gram long, doc_id long, at long, data binary")
+    dealt = cut.repartition("gram").sortWithinPartitions("gram")
+    pieces = materialize(dealt.mapInArrow(_suffixes, "doc_id long, at long"), "pieces")
+    discard(repeated, shared)
+    del cut, dealt, wanted
     release(spark)
-    return settled.where("copy").select("doc_id", "at").unionByName(pieces)
+    return pieces
 
 
 def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:

@@ -25,6 +25,46 @@ def test_query(spark):
     assert result(queries.op5_substrings(spark, SF).collect()) == repeats(docs)
 
 
+def brute_factors(windows, bucket, position):
+    share = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return [max([share(windows[i], windows[j]) for j in range(len(windows)) if bucket[j] == bucket[i] and position[j] < position[i]], default=0) for i in range(len(windows))]
+
+
+@pytest.mark.parametrize("width", [1, 7, 8, 20, 100])
+def test_longest_previous_factors(width):
+    rng = np.random.default_rng(width)
+    for letters in (1, 2, 3, 200):
+        n = 150
+        windows = rng.integers(0, letters, (n, width)).astype(np.uint8)
+        copy = rng.integers(0, n, n // 2)
+        windows[rng.integers(0, n, n // 2)] = windows[copy]
+        bucket, position = rng.integers(0, 3, n), rng.permutation(n)
+        want = brute_factors(windows.tolist(), bucket, position)
+        assert op.longest_previous_factors(windows, bucket, position).tolist() == want
+        floor = width // 2 + 1
+        assert op.longest_previous_factors(windows, bucket, position, floor).tolist() == [w if w >= floor else 0 for w in want]
+
+
+def test_texts_whose_rolling_hashes_are_equal(spark):
+    """Two strings that differ but have the same polynomial hash modulo 2^64 are no copies."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, "x" * 150 + word), (2, "y" * 150 + other), (3, word[:700] + other[:700])]
+    assert result(op.digests(op.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"))).collect()) == repeats(docs)
+
+
+def test_a_passage_that_all_documents_hold(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, phrase = text(400), text(60)
+    docs = [(k, text(rng.randrange(200)) + passage[rng.randrange(50) :] + text(40) + phrase + text(150)) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(12)
+    for hot in (op.HOT, 20):
+        assert result(op.digests(op.deduplicate(df, hot)).collect()) == repeats(docs)
+
+
 def crossed():
     """Texts cut from few passages at random places, so that runs of many kinds share grams."""
     rng = random.Random(11)
