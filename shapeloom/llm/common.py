@@ -102,6 +102,33 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+#: Length of the stretches of a running sum: Spark copies what an aggregate has gathered at every step.
+SUM_CHUNK = 256
+
+
+def running_sums(values: Column) -> Column:
+    """(out: sums before each value, all: sum of all) of a short array of longs."""
+    zero = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("all"))
+    step = lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["all"])).alias("out"), (acc["all"] + x).alias("all"))
+    return F.aggregate(values, zero, step)
+
+
+def with_starts(df: DataFrame, pieces: str, out: str, length) -> DataFrame:
+    """``df`` with the sum of ``length(piece)`` over all pieces before each piece of the array column ``pieces``.
+
+    Stretch by stretch, so that the cost is the number of pieces times a constant.  Arrays are read
+    inside a lambda only where they are columns of more than one use, or zipped: Spark would
+    otherwise compute them again for every element.
+    """
+    last = F.greatest(F.floor((F.size(pieces) - 1) / SUM_CHUNK).cast("int"), F.lit(0))
+    chunk = lambda c: running_sums(F.transform(F.slice(pieces, c * SUM_CHUNK + 1, SUM_CHUNK), length))
+    df = df.withColumn("_chunks", F.transform(F.sequence(F.lit(0), last), chunk))
+    df = df.withColumn("_bases", running_sums(F.transform("_chunks", lambda c: c["all"]))["out"])
+    both = F.arrays_zip("_chunks", "_bases")
+    sums = F.flatten(F.transform(both, lambda z: F.transform(z["_chunks"]["out"], lambda x: x + z["_bases"])))
+    return df.withColumn(out, sums).drop("_chunks", "_bases")
+
+
 # ---------------------------------------------------------------- numpy views of text
 
 _WS = np.zeros(256, dtype=bool)

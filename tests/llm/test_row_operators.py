@@ -43,26 +43,64 @@ def test_quality_verdicts_follow_labels(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
-def test_secrets(spark, odd):
+def ledger_of(spark, tmp_path):
+    return secrets_op.Ledger(spark, str(tmp_path / "ledger"))
+
+
+def test_secrets(spark, odd, tmp_path):
+    ledger = ledger_of(spark, tmp_path)
     for docs in (odd.select("doc_id", "text"), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")):
         text = {r.doc_id: r.text for r in docs.collect()}
-        got = secrets_op.digests(secrets_op.scan(docs)[0]).collect()
+        ledger.commit(docs)
+        got = secrets_op.digests(ledger.findings(docs)).collect()
         assert len(got) == docs.count()
         for r in got:
             assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == secrets(text[r.doc_id]), r.doc_id
-    assert secrets_op.scan(odd.limit(0))[0].count() == 0
+    assert ledger.findings(odd.limit(0)).count() == 0
+    empty = ledger_of(spark, tmp_path / "empty")
+    assert empty.findings(odd).where("spans is null").count() == odd.count()
+    empty.commit(odd.limit(0))
+    assert empty.rows().count() == 0
 
 
-def test_secrets_ledger_scans_only_what_is_new(spark, odd):
+def test_secrets_ledger_scans_only_what_is_new(spark, odd, tmp_path):
     docs = odd.select("doc_id", "text")
     base, more = secrets_op.BASE_RULES, secrets_op.RULES
-    _, ledger = secrets_op.scan(docs, rules=base)
-    assert secrets_op.scan_blobs(docs, ledger, base).count() == 0
-    new = secrets_op.scan_blobs(docs, ledger, more).collect()
-    assert len(new) == docs.select("text").fillna("").distinct().count() and {len(r.tags) for r in new} == {3}
-    both = {r.doc_id: r.spans for r in secrets_op.digests(secrets_op.scan(docs, ledger, more)[0]).collect()}
-    once = {r.doc_id: r.spans for r in secrets_op.digests(secrets_op.scan(docs, rules=more)[0]).collect()}
-    assert both == once and "pem:0:" in both[15]
+    ledger = ledger_of(spark, tmp_path)
+    ledger.commit(docs.where("doc_id < 7"), base)
+    first = ledger.rows().count()
+    ledger.commit(docs, base)
+    distinct = docs.select("text").fillna("").distinct().count()
+    assert 0 < first < distinct == ledger.rows().count() == ledger.rows().select("blob").distinct().count()
+    assert secrets_op.scan_blobs(docs, ledger.rows(), base).count() == 0
+    new = secrets_op.scan_blobs(docs, ledger.rows(), more).collect()
+    assert len(new) == distinct and {len(r.tags) for r in new} == {3}
+    ledger.commit(docs, more)
+    both = {r.doc_id: r.spans for r in secrets_op.digests(ledger.findings(docs, more)).collect()}
+    fresh = ledger_of(spark, tmp_path / "fresh")
+    fresh.commit(docs, more)
+    assert both == {r.doc_id: r.spans for r in secrets_op.digests(fresh.findings(docs, more)).collect()} and "pem:0:" in both[15]
+    # a new version of a rule scans again, and the old version's spans are not shown
+    changed = (*base[:2], secrets_op.Rule("hex", "[0-9a-f]+", 0, 64, version=2))
+    assert {tuple(r.tags) for r in secrets_op.scan_blobs(docs, ledger.rows(), changed).collect()} == {("hex@2",)}
+    ledger.commit(docs, changed)
+    spans = {r.doc_id: r.spans for r in ledger.findings(docs, changed).collect()}
+    assert [s.end - s.start for s in spans[13] if s.kind == "hex"] == [64]
+
+
+def test_many_matches_take_linear_time(spark, tmp_path):
+    import time
+
+    texts = [" ".join(f"token=abcdefgh{k}" for k in range(n)) for n in (1000, 40000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    ledger = ledger_of(spark, tmp_path)
+    ledger.commit(docs.limit(0))
+    began = time.time()
+    ledger.commit(docs)
+    took = time.time() - began
+    for r in secrets_op.digests(ledger.findings(docs)).collect():
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == secrets(texts[r.doc_id])
+    assert took < 30
 
 
 def test_chat(spark):
