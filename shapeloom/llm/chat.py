@@ -20,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shapeloom.llm.common import with_starts
+
 OPEN, ROLE, NEXT, CLOSE = "<s>[INST]", "[/INST]", "[NEXT]", "</s>"
 #: Control strings of the template, without their first character.
 _TAILS = r"/?s>|/?INST\]|NEXT\]"
 _ESCAPE = rf"([<\[])(\\*)({_TAILS})"
 _UNESCAPE = rf"([<\[])\\(\\*)({_TAILS})"
-#: Length of the chunks of a running sum; chunk sums are quadratic in this, not in the turns.
-_CHUNK = 256
 
 
 def escape(text: Column) -> Column:
@@ -37,13 +37,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _UNESCAPE, r"$1$2$3")
 
 
-def _sums(values: Column) -> Column:
-    """(out: sums before each value, all: sum of all) of a short array of longs."""
-    zero = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("all"))
-    step = lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["all"])).alias("out"), (acc["all"] + x).alias("all"))
-    return F.aggregate(values, zero, step)
-
-
 def format_chats(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, formatted (string), loss (array of struct(start, end): code points, end exclusive)."""
     turn = F.struct(
@@ -75,16 +68,10 @@ def format_chats(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
         ),
     )
     df = df.select("conv_id", F.array_join(F.transform("blocks", shown), "").alias("formatted"), F.flatten(F.transform("blocks", piece)).alias("pieces"))
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / _CHUNK).cast("int")),
-        lambda c: _sums(F.transform(F.slice("pieces", c * _CHUNK + 1, _CHUNK), lambda x: x["gap"] + x["n"] + x["tail"])),
-    )
-    df = df.withColumn("chunks", chunks)
-    df = df.withColumn("bases", _sums(F.transform("chunks", lambda c: c["all"]))["out"])
-    starts = F.flatten(F.transform("chunks", lambda c, k: F.transform(c["out"], lambda x: x + F.get("bases", k))))
-    df = df.withColumn("starts", starts)
-    span = lambda x, i: F.struct((F.get("starts", i) + x["gap"]).alias("start"), (F.get("starts", i) + x["gap"] + x["n"]).alias("end"), x["loss"].alias("loss"))
-    spans = F.filter(F.transform("pieces", span), lambda x: x["loss"])
+    df = with_starts(df, "pieces", "starts", lambda x: x["gap"] + x["n"] + x["tail"])
+    begin = lambda z: z["starts"] + z["pieces"]["gap"]
+    span = lambda z: F.struct(begin(z).alias("start"), (begin(z) + z["pieces"]["n"]).alias("end"), z["pieces"]["loss"].alias("loss"))
+    spans = F.filter(F.transform(F.arrays_zip("pieces", "starts"), span), lambda x: x["loss"])
     return df.select("conv_id", "formatted", F.transform(spans, lambda x: F.struct(x["start"], x["end"])).alias("loss"))
 
 
