@@ -28,8 +28,9 @@ def brute(docs, items):
         w = norm_(text)
         for i, item in items:
             m = norm_(item)
-            for o in range(len(w) - len(m) + 1) if m else ():
-                if (e := distance(w[o : o + len(m)], m)) <= dc.limit_of(len(m)):
+            most = dc.limit_of(len(m))
+            for o in range(-most, len(w) - len(m) + most + 1) if m else ():
+                if (e := distance(w[max(o, 0) : max(o + len(m), 0)], m)) <= most:
                     out[d, i] = min(e, out.get((d, i), 99))
     return out
 
@@ -37,11 +38,12 @@ def brute(docs, items):
 def test_edits():
     rng = random.Random(3)
     rows = [[rng.randint(1, 3) for _ in range(12)] for _ in range(80)]
-    n = np.array([rng.randint(1, 12) for _ in range(40)])
-    a, b = dc.padded([np.array(r[:k], np.uint64) for r, k in zip(rows[:40], n)]), dc.padded([np.array(r[:k], np.uint64) for r, k in zip(rows[40:], n)])
-    got = dc.edits(a, b, n, 4)
-    for x, y, k, e in zip(rows[:40], rows[40:], n, got):
-        assert e == min(distance(x[:k], y[:k]), 5)
+    m, n = (np.array([rng.randint(1, 12) for _ in range(40)]) for _ in range(2))
+    m[:20] = n[:20]
+    a, b = dc.padded([np.array(r[:k], np.uint64) for r, k in zip(rows[:40], m)]), dc.padded([np.array(r[:k], np.uint64) for r, k in zip(rows[40:], n)])
+    got = dc.edits(a, b, m, n, 4)
+    for x, y, k, j, e in zip(rows[:40], rows[40:], m, n, got):
+        assert e == min(distance(x[:k], y[:j]), 5)
 
 
 def edited(rng, item, count):
@@ -75,6 +77,55 @@ def test_recall_at_the_limit(spark):
     assert len(set(want) & set(got)) >= 0.99 * len(want) and len(want) > 300
 
 
+def test_passages_at_the_ends_of_a_text():
+    rng = random.Random(8)
+    items = [[f"w{rng.randrange(300)}" for _ in range(50)] for _ in range(20)]
+    index = dc.Items(list(range(20)), [" ".join(i) for i in items])
+    docs = []
+    for item in items:
+        for cut in (1, 5, 10, 11):
+            at = rng.randrange(len(item) - cut)
+            less = item[:at] + item[at + cut :]
+            more = [f"x{rng.randrange(10**5)}" for _ in range(30)]
+            docs += [" ".join(less), " ".join(less + more), " ".join(more + less)]
+    got = {(d, i): e for d, i, _, e in dc.match(index, pa.array(docs))}
+    want = {k: e for d, text in enumerate(docs) for k, e in brute([(d, text)], [(d // 12, " ".join(items[d // 12]))]).items()}
+    assert got.items() <= want.items() and len(got) >= 0.99 * len(want)
+    assert all(want[d, d // 12] == (1, 5, 10)[d // 3 % 4] for d in range(240) if d // 3 % 4 < 3)
+
+
+def test_repetitive_text_in_bounded_memory():
+    import tracemalloc
+
+    index = dc.Items(["a", "b"], ["same " * 100, "same other " * 30])
+    text = "same " * 210_000
+    tracemalloc.start()
+    got = list(dc.match(index, pa.array([text, "other same " * 20_000])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i, o, e) for d, i, o, e in got] == [(0, 0, 0, 0), (1, 1, 1, 0)] and peak < 400e6
+
+
+def test_words_of_equal_hashes_differ():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    index = dc.Items([1], [f"one {word} three four five"])
+    got = list(dc.match(index, pa.array([f"one {other} three four five", f"one {word} three four five"])))
+    assert got == [(1, 0, 0, 0)]
+
+
+def test_items_in_blocks_and_other_ids(spark, monkeypatch):
+    monkeypatch.setattr(dc, "ITEM_BYTES", 40)
+    monkeypatch.setattr(dc.item_blocks, "__defaults__", (40,))
+    docs = spark.createDataFrame([(k, f"x{k} alpha beta gamma delta x") for k in range(6)] + [(9, "else")], "doc_id int, text string")
+    bench = spark.createDataFrame([(f"i{k}", f"x{k} alpha beta gamma") for k in range(4)] + [(None, "gamma delta")], "item_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.find(docs, bench).collect()}
+    assert got == {(k, f"i{k}") for k in range(4)} | {(k, None) for k in range(6)}
+    assert [r.doc_id for r in dc.clean(docs, bench).collect()] == [9]
+
+
 def test_decontamination_query(spark):
     bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
