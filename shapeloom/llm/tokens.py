@@ -5,10 +5,10 @@ ids take one byte.  Ranks are coded four to a control byte; its two-bit fields h
 of data bytes less one.  Control bytes and data bytes are kept apart, and both directions are
 numpy table look-ups over whole documents.
 
-Files: a Parquet folder ``data`` (rows in ascending doc_id order, shard by shard: shard, row,
-doc_id, start in the shard, n_tokens, control, data) and a folder ``vocab`` (rank, id, count).
-Parquet is only the container; it is what lets executors write to any store with Spark's commit
-protocol.
+Files: a Parquet folder ``data`` (a file for each shard, files and their rows in ascending doc_id
+order: shard, row, doc_id, start in the shard, n_tokens, control, data) and a folder ``vocab`` (rank, id,
+count).  Parquet is only the container; it is what lets executors write to any store with Spark's
+commit protocol.
 
 Texts are tokenized word by word: the normalizer and the splitter of the tokenizer never look
 across white space, so the ids of a text are those of its words in order, and each worker asks
@@ -30,7 +30,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapeloom.llm.common import Block, blocks, discard, materialize, new_path, release, tune
@@ -40,8 +40,10 @@ END_ID = 2
 PIECE_BYTES = 2 << 20
 #: Distinct words whose ids a Python worker keeps; when it is full, words that came in one block only go.
 CACHE_WORDS = 750_000
-#: Documents in a shard, about; a shard is a range of doc_id and a task.
-SHARD_ROWS = 4096
+#: Text bytes in a shard, about; a shard is a range of doc_id, a task and a file.
+SHARD_BYTES = 128 << 20
+#: Shards whose sums are added up by one task when documents are read.
+BASE_SHARDS = 1024
 
 # ---------------------------------------------------------------- tokenizing
 
@@ -335,15 +337,17 @@ def _pack_rows(ranks):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) into the folder ``path``.
 
     Texts are tokenized once, in order; their ids wait in the shared folder until all are counted.
+    The coded rows are dealt by shard number, so that the files are in the order of the shards.
     """
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // shard_rows)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // shard_bytes)
     tie = F.xxhash64("text")
     dealt = docs.repartitionByRange(shards, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
     staged = materialize(dealt.mapInArrow(_tokenize(tokenizer, end_id), _STAGED), "ids", compression="zstd")
@@ -355,7 +359,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shar
     ranks = np.zeros(max((i for i, _ in counts), default=0) + 1, np.uint32)
     ranks[[i for i, _ in counts]] = np.arange(len(counts))
     packed = staged.where("ids is not null").mapInArrow(_pack_rows(spark.sparkContext.broadcast(ranks)), _FILE_COLUMNS)
-    packed.write.option("compression", "none").parquet(f"{path}/data")
+    ordered = packed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "row")
+    ordered.write.option("compression", "none").parquet(f"{path}/data")
     discard(staged)
 
 
@@ -380,12 +385,11 @@ def read(spark: SparkSession, path: str, reduce=None, schema: str = "ids array<i
             got = [reduce(ids[e - k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([c["shard"], c["row"], c["doc_id"], c["start"], c["n_tokens"], pa.array(got, out)], ["shard", "row", "doc_id", "start", "n_tokens", kind[0].name])
 
-    sums = sorted((r["shard"], r["n"]) for r in data.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())  # one row for each shard of thousands of documents
-    before, bases = 0, []
-    for shard, n in sums:
-        bases.append((shard, before))
-        before += n
-    base = spark.createDataFrame(bases, "shard long, base long")
+    # Ids before each shard: sums within groups of shards, and of the groups.
+    sums = data.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.floor(F.col("shard") / BASE_SHARDS))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(Window.orderBy("group")).alias("all"))
+    base = sums.withColumn("own", before(Window.partitionBy("group").orderBy("shard"))).join(groups, "group").select("shard", (F.col("own") + F.col("all")).alias("base"))
     found = data.mapInArrow(decode, f"shard long, row long, doc_id long, start long, n_tokens long, {schema}")
     return found.join(base, "shard").withColumn("start", F.col("start") + F.col("base")).drop("base")
 

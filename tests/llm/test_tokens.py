@@ -67,3 +67,24 @@ def test_odd_rows(spark):
     assert len(twice) == 3 * len(rows)
     at = sorted((r.start, r.n_tokens) for r in twice)
     assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:])) and at[0][0] == 0
+
+
+def test_files_are_in_ascending_order(spark, tmp_path, monkeypatch):
+    import re
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(tokens, "BASE_SHARDS", 3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(9)
+    path = str(tmp_path / "files")
+    tokens.write(docs, path, PATH, shard_bytes=100_000)
+    files = sorted((int(re.search(r"part-(\d+)", p.name)[1]), p) for p in (tmp_path / "files" / "data").glob("*.parquet"))
+    ids, start = [], 0
+    for _, file in files:
+        table = pq.read_table(file).to_pydict()
+        ids += table["doc_id"]
+        assert table["start"] == [sum(table["n_tokens"][:k]) for k in range(len(table["start"]))] and len(set(table["shard"])) == 1
+    assert len(files) > 8 and ids == sorted(ids) and len(ids) == docs.count()
+    for r in sorted(tokens.read(spark, path).collect(), key=lambda r: (r.shard, r.row)):
+        assert r.start == start and len(r.ids) == r.n_tokens
+        start += r.n_tokens
