@@ -7,12 +7,18 @@ three words share, wherever they stand; for the slot: the word before and the on
 each together with the class.  The most frequent OWN tokens have slots of their own, all others share slots by
 their last bytes, and share a slot's probability by add-one counts, as in the base score.
 
-1. Counts of all tokens of the training rows: summed in every task, then by a grouped sum.
-2. Weights: every task takes gradient steps (row-wise AdaGrad) over all its training texts; the
-   rows of the tasks' weights are averaged by how often each was touched, in two salted levels.
+1. Counts of all tokens of the training rows: summed in every task, then by a grouped sum.  Tokens
+   are counted, looked up and joined by their bytes; only features are hashed.
+2. Weights: ROUNDS synchronous gradient updates.  Each takes the training rows of one hash class of
+   (doc_id, text): tasks get the weights, return the gradients of the rows that they touched, which are
+   summed in two levels, and the driver moves the weights (row-wise AdaGrad).  Gradients
+   are rounded to multiples of a power of two, so that sums do not depend on their order: one
+   input gives one model, however it is partitioned.
 3. Scores: a pass over all texts in sparse numpy batches.  The FREQUENT most frequent tokens
-   (bounded by that number) are broadcast with their counts; all others are looked up by a
-   join on their hash.  A token is its 64-bit hash from step 1 on.
+   (bounded by that number) are broadcast with their counts; all others are looked up by a join.
+
+The counts, which grow with the corpus, are complete.  The number of feature rows is one for about
+ROW_TOKENS training tokens, up to MAX_ROWS, which bounds the broadcast weights.
 
 Defined results: a null or empty text has one token, its end; without training rows all counts
 are 0; repeated rows and equal doc_ids are scored row by row; an empty table gives no rows.
@@ -31,30 +37,53 @@ CLASSES = SLOTS = 32
 OWN = 512
 SHARED = CLASSES * SLOTS - OWN
 FREQUENT = 1 << 18
-ROWS_1, ROWS_2 = 1 << 13, 1 << 15
+ROW_TOKENS = 64
+MIN_ROWS, MAX_ROWS = 1 << 10, 1 << 16
 BACK = 3
-STEP = 0.2
+ROUNDS = 6
+STEP = 0.35
+#: Added to a row's squared gradients, in tokens: rows that few tokens touch move little.
+PRIOR = 16.0
+#: Gradients are multiples of 1 / GRAIN; sums of a batch are exact in 32-bit floats.
+GRAIN = 1024
 BATCH = 8192
-#: Training tokens to a training task, about; the number of partial models follows the input.
-SHARD_TOKENS = 2_000_000
+#: Training tokens to a task and round, about; the number of tasks follows the input.
+SHARD_TOKENS = 4_000_000
 BLOCK_ROWS = 1024
 SALTS = 16
 #: Distinct tokens that a counting task holds before it sends them on.
-HELD_TOKENS = 1_000_000
-END = np.uint64(0x5851F42D4C957F2D)
+HELD_TOKENS = 500_000
+#: The end of a text as a token; no word holds a space.
+END = " "
 BEGIN = np.uint64(0x14057B7EF767814F)
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _CLASS = np.uint64(0xE7037ED1A0B428DB)
 
 
-def sequences(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, shared slot number, first token of each text) of the block's tokens; every text ends with END."""
-    starts, ends, first = block.words()
-    prefix = prefix_hash(block.lowered())
-    h = range_hash(prefix, starts, ends)
-    tail = (range_hash(prefix, np.maximum(starts, ends - 3), ends) % np.uint64(SHARED)).astype(np.int16)
-    at = first[1:]
-    return np.insert(h, at, END), np.insert(tail, at, 0), first + np.arange(len(first))
+class Tokens:
+    """The tokens of a block: ``code`` numbers each in ``words`` (an Arrow array; END is the last), ``first``: first token of each text.
+
+    ``hash`` and ``tail``: of each word, a hash and the number of a shared slot by its last bytes.
+    """
+
+    def __init__(self, block: Block):
+        starts, ends, first = block.words()
+        inside = np.zeros(len(block.buf) + 1, np.int8)
+        inside[starts] += 1
+        inside[ends] -= 1
+        data = block.lowered()[np.cumsum(inside[:-1], dtype=np.int8) > 0] if len(starts) else block.buf[:0]
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        distinct = found.dictionary.cast(pa.string())
+        at = first[1:]
+        self.code = np.insert(np.asarray(found.indices).astype(np.int64), at, len(distinct))
+        self.words = pa.concat_arrays([distinct, pa.array([END], pa.string())])
+        self.first = first + np.arange(len(first))
+        buf = np.frombuffer(self.words.buffers()[2], np.uint8)
+        cuts = np.frombuffer(self.words.buffers()[1], np.int32)[: len(self.words) + 1].astype(np.int64)
+        prefix = prefix_hash(buf[: cuts[-1]])
+        self.hash = range_hash(prefix, cuts[:-1], cuts[1:])
+        self.tail = (range_hash(prefix, np.maximum(cuts[:-1], cuts[1:] - 3), cuts[1:]) % np.uint64(SHARED)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- counts
@@ -62,36 +91,34 @@ def sequences(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches):
     """Rows (text) -> (token, tail, n), every distinct token once for each time that a task's table is full."""
-    held, size = [], 0
-
-    def fold():
-        h, tail, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        return u, tail[first], np.bincount(inverse, weights=n).astype(np.int64)
+    held: dict[str, int] = {}
+    tails: dict[str, int] = {}
 
-    def out(u, tail, n):
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(tail.astype(np.int32)), pa.array(n)], ["token", "tail", "n"])
+    def out():
+        rows = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([tails[w] for w in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["token", "tail", "n"])
+        held.clear()
+        tails.clear()
+        return rows
 
     for batch in batches:
         for block in blocks(batch.column(0)):
-            h, tail, _ = sequences(block)
-            u, first, n = np.unique(h, return_index=True, return_counts=True)
-            held.append((u, tail[first], n))
-            size += len(u)
-        if size > 2 * HELD_TOKENS:
-            held = [fold()]
-            size = len(held[0][0])
-            if size > HELD_TOKENS:
-                yield out(*held[0])
-                held, size = [], 0
+            t = Tokens(block)
+            for word, tail, n in zip(t.words.to_pylist(), t.tail.tolist(), np.bincount(t.code, minlength=len(t.words)).tolist(), strict=True):
+                old = held.get(word)
+                if old is None:
+                    held[word], tails[word] = n, tail
+                else:
+                    held[word] = old + n
+            if len(held) > HELD_TOKENS:
+                yield out()
     if held:
-        yield out(*fold())
+        yield out()
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, tail, n): how often each token occurs in ``docs`` (text)."""
-    rows = docs.select("text").mapInArrow(_count, "token long, tail int, n long")
-    return rows.groupBy("token").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(_count, "token string, tail int, n long")
+    return rows.groupBy("token", "tail").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -110,28 +137,23 @@ class Vocabulary:
             least, seen = k, seen + m
         rows = counts.where(step >= least).select("token", "tail", "n").collect() if least is not None else []  # FREQUENT at most
         rows.sort(key=lambda r: (-r["n"], r["token"]))
-        own = {r["token"] for r in rows[:OWN]}
-        rows_by_hash = sorted(((r["token"] % 2**64, r["n"], k if k < OWN else OWN + r["tail"]) for k, r in enumerate(rows)))
-        self.hash = np.array([r[0] for r in rows_by_hash], np.uint64)
-        self.count = np.array([r[1] for r in rows_by_hash], np.int64)
-        self.leaf = np.array([r[2] for r in rows_by_hash], np.int16)
+        self.index = {r["token"]: k for k, r in enumerate(rows)}
+        self.count = np.array([*(r["n"] for r in rows), -1], np.int64)
+        self.leaf = np.array([*(k if k < OWN else OWN + r["tail"] for k, r in enumerate(rows)), 0], np.int64)
         sums, types = np.zeros(SHARED), np.zeros(SHARED)
         for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect():  # SHARED rows
             sums[r["tail"]], types[r["tail"]] = r["n"], r["m"]
-        for r in rows:
-            if r["token"] in own:
-                sums[r["tail"]] -= r["n"]
-                types[r["tail"]] -= 1
+        for r in rows[:OWN]:
+            sums[r["tail"]] -= r["n"]
+            types[r["tail"]] -= 1
         self.log_slot = np.concatenate([np.zeros(OWN), np.log10(sums + types + 1)])
         self.log_all = float(np.log10(self.tokens + self.types + 1))
 
-    def look_up(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count or -1 where not among the frequent, leaf) of each token."""
-        if not len(self.hash):
-            return np.full(len(h), -1), (OWN + tail).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        found = self.hash[at] == h
-        return np.where(found, self.count[at], -1), np.where(found, self.leaf[at], OWN + tail).astype(np.int64)
+    def look_up(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(count or -1 where not among the frequent, leaf) of each of the block's words."""
+        get = self.index.get
+        at = np.fromiter((get(w, -1) for w in t.words.to_pylist()), np.int64, len(t.words))
+        return self.count[at], np.where(at >= 0, self.leaf[at], OWN + t.tail)
 
 
 # ---------------------------------------------------------------- model
@@ -151,29 +173,34 @@ def contexts(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(before)
 
 
+def rows_for(tokens: int) -> int:
+    """Rows of each kind of feature for so many training tokens: a power of two."""
+    return int(min(MAX_ROWS, max(MIN_ROWS, 1 << max(0, tokens // ROW_TOKENS).bit_length())))
+
+
 def hashed(x: np.ndarray, rows: int) -> np.ndarray:
-    """Row numbers; 16 bits wide, so that they are sorted by radix."""
-    return ((x * _MULT[0]) >> np.uint64(64 - rows.bit_length() + 1)).astype(np.uint16)
+    """Row numbers; 16 bits wide where that is enough, so that they are sorted by radix."""
+    return ((x * _MULT[0]) >> np.uint64(64 - rows.bit_length() + 1)).astype(np.uint16 if rows <= 1 << 16 else np.uint32)
 
 
 class Model:
     """``skip`` and ``pair`` hold rows of CLASSES weights, ``near`` and ``far`` rows of SLOTS weights; b1, b2 are biases."""
 
-    def __init__(self):
-        self.skip, self.pair = (np.zeros((ROWS_1, CLASSES), np.float32) for _ in range(2))
-        self.near, self.far = (np.zeros((ROWS_2, SLOTS), np.float32) for _ in range(2))
-        self.b1, self.b2 = np.zeros((1, CLASSES), np.float32), np.zeros((CLASSES, SLOTS), np.float32)
+    def __init__(self, rows: int = MIN_ROWS, kind=np.float32):
+        self.n_rows = rows
+        self.skip, self.pair = (np.zeros((rows, CLASSES), kind) for _ in range(2))
+        self.near, self.far = (np.zeros((rows, SLOTS), kind) for _ in range(2))
+        self.b1, self.b2 = np.zeros((1, CLASSES), kind), np.zeros((CLASSES, SLOTS), kind)
 
-    def parts(self):
+    def parts(self) -> dict[str, np.ndarray]:
         return {k: getattr(self, k) for k in ("skip", "pair", "near", "far", "b1", "b2")}
 
-    @staticmethod
-    def rows(words: tuple[np.ndarray, ...], cls: np.ndarray) -> dict[str, np.ndarray]:
+    def rows(self, words: tuple[np.ndarray, ...], cls: np.ndarray) -> dict[str, np.ndarray]:
         """Row numbers of a stretch of tokens; ``skip`` has one array for each of the BACK words."""
         one, two, _ = words
-        c = cls.astype(np.uint64) * _CLASS
-        skip = np.stack([hashed(w, ROWS_1) for w in words])
-        return {"skip": skip, "pair": hashed(one * _MULT[2] + two * _MULT[3], ROWS_1), "near": hashed(one ^ c, ROWS_2), "far": hashed((two ^ c) * _MULT[1], ROWS_2)}
+        c, n = cls.astype(np.uint64) * _CLASS, self.n_rows
+        skip = np.stack([hashed(w, n) for w in words])
+        return {"skip": skip, "pair": hashed(one * _MULT[2] + two * _MULT[3], n), "near": hashed(one ^ c, n), "far": hashed((two ^ c) * _MULT[1], n)}
 
     def logits(self, rows, cls) -> tuple[np.ndarray, np.ndarray]:
         z1 = self.b1 + np.take(self.pair, rows["pair"], axis=0)
@@ -196,104 +223,110 @@ class Model:
             total = total + own - np.log(z.sum(axis=1))
         return total / np.log(10)
 
-
-class Trainer(Model):
-    def __init__(self):
-        super().__init__()
-        self.sums = {k: np.full(len(v), 1e-2, np.float32) for k, v in self.parts().items()}
-        self.touched = {k: np.zeros(len(v), np.float64) for k, v in self.parts().items()}
-
-    def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """Add up the gradients of equal rows and move each row once."""
-        order = np.argsort(rows, kind="stable")
-        r = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        g = np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0)
-        at, n = r[first], np.diff(np.append(first, len(r)))
-        self.sums[name][at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        getattr(self, name)[at] -= STEP * g / np.sqrt(self.sums[name][at])[:, None]
-        self.touched[name][at] += n
-
-    def learn(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> None:
+    def errors(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """(part, rows, gradients): of each token, rounded to the grain."""
         cls, slot = leaf // SLOTS, leaf % SLOTS
         n, rows = np.arange(len(leaf)), self.rows(words, cls)
         e1, e2 = self.logits(rows, cls)
         for e, outcome in ((e1, cls), (e2, slot)):
             np.exp(e, out=e)
-            e /= e.sum(axis=1, keepdims=True)
-            e[n, outcome] -= 1
-        # A word is among the BACK before each of the next tokens: its gradients are summed before rows are.
-        one, two, three = rows["skip"]
-        follow = e1.copy()
-        same = (two[1:] == one[:-1])[:, None]
-        follow[:-1] += np.where(same, e1[1:], 0)
-        both = (three[2:] == one[:-2])[:, None]
-        follow[:-2] += np.where(both, e1[2:], 0)
-        self._step("skip", one, follow)
-        self._step("pair", rows["pair"], e1)
-        self._step("near", rows["near"], e2)
-        self._step("far", rows["far"], e2)
-        self._step("b1", np.zeros(len(leaf), np.uint16), e1)
-        self._step("b2", cls.astype(np.uint16), e2)
+            e *= GRAIN / e.sum(axis=1, keepdims=True)
+            e[n, outcome] -= GRAIN
+            np.rint(e, out=e)
+        skip = [("skip", r, e1) for r in rows["skip"]]
+        return [*skip, ("pair", rows["pair"], e1), ("near", rows["near"], e2), ("far", rows["far"], e2), ("b1", np.zeros(len(leaf), np.uint16), e1), ("b2", cls.astype(np.uint16), e2)]
+
+
+class Gradient:
+    """Sums of the gradients of tokens in units of the grain; all sums are whole numbers."""
+
+    def __init__(self, model: Model):
+        self.model, self.sums = model, Model(model.n_rows, np.float64)
 
+    def add(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> None:
+        for part, rows, e in self.model.errors(words, leaf):
+            order = np.argsort(rows, kind="stable")
+            r = rows[order]
+            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            getattr(self.sums, part)[r[first]] += np.add.reduceat(np.take(e, order, axis=0), first, axis=0)
 
-_PIECE = "part string, block long, weights binary, touched binary"
 
+class Descent:
+    """Row-wise AdaGrad over summed gradients."""
 
-def _train(vocabulary):
-    """Rows (text) -> the task's weights in blocks of rows, each with how often its rows were touched."""
+    def __init__(self, rows: int):
+        self.model = Model(rows)
+        self.squares = {k: np.full(len(v), float(PRIOR)) for k, v in self.model.parts().items()}
+
+    def step(self, part: str, at: np.ndarray, gradient: np.ndarray) -> None:
+        """Move the rows ``at`` against their gradients, whole numbers of grains."""
+        g = gradient / GRAIN
+        self.squares[part][at] += np.square(g).mean(axis=1)
+        getattr(self.model, part)[at] -= (STEP * g / np.sqrt(self.squares[part][at])[:, None]).astype(np.float32)
+
+
+_PIECE = "part string, block long, rows binary, sums binary"
+
+
+def _gradients(vocabulary, model):
+    """Rows (text) -> the sums of the task's gradients, block by block of the rows that it touched."""
 
     def run(batches):
-        model, vocab, some = Trainer(), vocabulary.value, False
+        vocab, gradient, some = vocabulary.value, Gradient(model.value), False
         for batch in batches:
             for block in blocks(batch.column(0)):
                 some = True
-                h, tail, first = sequences(block)
-                _, leaf = vocab.look_up(h, tail)
-                words = contexts(h, first)
-                for a in range(0, len(h), BATCH):
-                    model.learn(tuple(w[a : a + BATCH] for w in words), leaf[a : a + BATCH])
-        if not some:
-            return
-        for part, w in model.parts().items():
-            for a in range(0, len(w), BLOCK_ROWS):
-                n = model.touched[part][a : a + BLOCK_ROWS].astype(np.float32)
-                weighted = (w[a : a + BLOCK_ROWS] * n[:, None]).astype(np.float32)
-                yield pa.RecordBatch.from_pydict({"part": [part], "block": [a // BLOCK_ROWS], "weights": [weighted.tobytes()], "touched": [n.tobytes()]})
+                t = Tokens(block)
+                leaf = vocab.look_up(t)[1][t.code]
+                words = contexts(t.hash[t.code], t.first)
+                for a in range(0, len(leaf), BATCH):
+                    gradient.add(tuple(w[a : a + BATCH] for w in words), leaf[a : a + BATCH])
+        if some:
+            yield from _pieces({(part, a // BLOCK_ROWS): w[a : a + BLOCK_ROWS] for part, w in gradient.sums.parts().items() for a in range(0, len(w), BLOCK_ROWS)})
 
     return run
 
 
+def _pieces(sums: dict):
+    for (part, block), w in sums.items():
+        at = np.flatnonzero(w.any(axis=1)).astype("<i4")
+        if len(at):
+            yield pa.RecordBatch.from_pydict({"part": [part], "block": [block], "rows": [at.tobytes()], "sums": [np.ascontiguousarray(w[at]).astype("<i8").tobytes()]})
+
+
 def _add(batches):
     """Sum the blocks of a task; it holds one model at most."""
     sums: dict = {}
     for batch in batches:
-        for part, block, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            w, n = np.frombuffer(w, np.float32), np.frombuffer(n, np.float32)
-            old = sums.get((part, block), (0, 0))
-            sums[part, block] = (old[0] + w, old[1] + n)
-    for (part, block), (w, n) in sums.items():
-        yield pa.RecordBatch.from_pydict({"part": [part], "block": [block], "weights": [w.astype(np.float32).tobytes()], "touched": [n.astype(np.float32).tobytes()]})
+        for part, block, at, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at = np.frombuffer(at, "<i4")
+            w = np.frombuffer(w, "<i8").reshape(len(at), -1)
+            if (part, block) not in sums:
+                sums[part, block] = np.zeros((BLOCK_ROWS, w.shape[1]), np.int64)
+            sums[part, block][at] += w
+    yield from _pieces(sums)
 
 
 def train(docs: DataFrame, vocabulary, tokens: int) -> Model:
-    """Fit over all texts of ``docs``; ``vocabulary`` is a broadcast Vocabulary."""
-    shards = max(6, tokens // SHARD_TOKENS)
-    partial = docs.select("text").coalesce(shards).mapInArrow(_train(vocabulary), _PIECE)
-    salted = partial.repartition("part", "block", F.pmod(F.xxhash64("touched"), F.lit(SALTS))).mapInArrow(_add, _PIECE)
-    summed = salted.repartition("part", "block").mapInArrow(_add, _PIECE)
-    model = Model()
-    for r in summed.collect():  # one model
-        w = model.parts()[r["part"]]
-        n = np.frombuffer(r["touched"], np.float32)
-        a = r["block"] * BLOCK_ROWS
-        w[a : a + len(n)] = np.frombuffer(r["weights"], np.float32).reshape(len(n), -1) / np.maximum(n, 1)[:, None]
-    return model
+    """Fit over all rows of ``docs`` (doc_id, text), each in one round; ``vocabulary`` is a broadcast Vocabulary."""
+    spark, fit = docs.sparkSession, Descent(rows_for(tokens))
+    for k in range(ROUNDS if tokens else 0):
+        model = spark.sparkContext.broadcast(fit.model)
+        mine = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).select("text")
+        partial = mine.coalesce(max(6, tokens // ROUNDS // SHARD_TOKENS)).mapInArrow(_gradients(vocabulary, model), _PIECE)
+        salted = partial.repartition("part", "block", F.pmod(F.xxhash64("sums"), F.lit(SALTS))).mapInArrow(_add, _PIECE) if tokens // ROUNDS // SHARD_TOKENS > SALTS else partial
+        for r in salted.repartition("part", "block").mapInArrow(_add, _PIECE).toLocalIterator():  # one model
+            at = np.frombuffer(r["rows"], "<i4")
+            fit.step(r["part"], at + r["block"] * BLOCK_ROWS, np.frombuffer(r["sums"], "<i8").reshape(len(at), -1))
+        model.destroy()
+        del mine, partial, salted
+        release(spark)
+    return fit.model
 
 
 # ---------------------------------------------------------------- scores
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, score double, rare array<struct<token:bigint,n:int>>"
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, score double, rare array<struct<token:string,n:int>>"
 
 
 def _score(vocabulary, model):
@@ -302,14 +335,16 @@ def _score(vocabulary, model):
 
         vocab, lm = vocabulary.value, model.value
         row = TaskContext.get().partitionId() << 40
-        kind = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32())]))
+        kind = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32())]))
         for batch in batches:
-            got: dict[str, list] = {k: [] for k in ("n_tokens", "n_frequent", "base", "score", "lengths", "token", "n")}
+            got: dict[str, list] = {k: [] for k in ("n_tokens", "n_frequent", "base", "score", "lengths", "n")}
+            rare = [pa.array([], pa.string())]
             for block in blocks(batch.column(2)):
-                h, tail, first = sequences(block)
-                count, leaf = vocab.look_up(h, tail)
-                words = contexts(h, first)
-                p = np.concatenate([lm.log_prob(tuple(w[a : a + BATCH] for w in words), leaf[a : a + BATCH]) for a in range(0, len(h), BATCH)])
+                t = Tokens(block)
+                first, per_word, leaf_of = t.first, *vocab.look_up(t)
+                count, leaf = per_word[t.code], leaf_of[t.code]
+                words = contexts(t.hash[t.code], first)
+                p = np.concatenate([lm.log_prob(tuple(w[a : a + BATCH] for w in words), leaf[a : a + BATCH]) for a in range(0, len(leaf), BATCH)])
                 known = count >= 0
                 log_count = np.log10(np.where(known, count, 0) + 1.0)
                 of_text = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731, B023  every text has a token
@@ -318,16 +353,13 @@ def _score(vocabulary, model):
                 got["base"].append(of_text(log_count))
                 got["score"].append(of_text(p + np.where(leaf >= OWN, log_count, 0) - vocab.log_slot[leaf]))
                 text = np.repeat(np.arange(block.n), np.diff(first))[~known]
-                rare = h[~known]
-                order = np.lexsort((rare, text))
-                text, rare = text[order], rare[order]
-                at = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (rare[1:] != rare[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                got["lengths"].append(np.bincount(text[at], minlength=block.n))
-                got["token"].append(rare[at].view(np.int64))
-                got["n"].append(np.diff(np.append(at, len(rare))).astype(np.int32))
+                pair, n = np.unique(text * len(t.words) + t.code[~known], return_counts=True)
+                got["lengths"].append(np.bincount(pair // len(t.words), minlength=block.n))
+                got["n"].append(n.astype(np.int32))
+                rare.append(t.words.take(pa.array(pair % len(t.words))))
             cat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in got.items()}
             offsets = pa.array(np.concatenate([[0], np.cumsum(cat["lengths"])]).astype(np.int32))
-            pairs = pa.StructArray.from_arrays([pa.array(cat["token"]), pa.array(cat["n"].astype(np.int32))], fields=list(kind.value_type))
+            pairs = pa.StructArray.from_arrays([pa.concat_arrays(rare), pa.array(cat["n"].astype(np.int32))], fields=list(kind.value_type))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + batch.num_rows)), batch.column(0), batch.column(1), *[pa.array(cat[k]) for k in ("n_tokens", "n_frequent", "base", "score")], pa.ListArray.from_arrays(offsets, pairs, type=kind)],
                 ["row", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "score", "rare"],
