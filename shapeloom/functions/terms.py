@@ -146,13 +146,17 @@ def valid(t: Column, local: str | None = None) -> Column:
 _HOUR = 3600 * 10**6
 
 
-def _instant(t: Column, kind: str) -> tuple[Column, Column]:
+_DAYTIMES = ("dateTime", "date", "time")
+_DURATIONS = ("duration", "yearMonthDuration", "dayTimeDuration")
+
+
+def _instant(t: Column) -> tuple[Column, Column]:
     """(microseconds, time zone or an empty string) of a dateTime, date or time."""
-    form = {"dateTime": f"(?:{_DATE}T{_TIME})", "date": _DATE, "time": _TIME}[kind]
-    text = _typed(t, f"({form})({_TZ})?", (kind,), 2)
-    text = {"dateTime": text, "date": F.concat(text, F.lit("T00:00:00")), "time": F.concat(F.lit("1972-12-31T"), text)}[kind]
+    forms = {"dateTime": f"(?:{_DATE}T{_TIME})", "date": _DATE, "time": _TIME}
+    text = {k: _typed(t, f"({form})({_TZ})?", (k,), 2) for k, form in forms.items()}
+    full_ = F.when(has_type(t, "dateTime"), text["dateTime"]).when(has_type(t, "date"), F.concat(text["date"], F.lit("T00:00:00"))).when(has_type(t, "time"), F.concat(F.lit("1972-12-31T"), text["time"]))
     zone = F.regexp_extract(t, f'({_TZ})"[^"]*$', 1)
-    return F.unix_micros(F.try_to_timestamp(F.concat(text, F.coalesce(F.nullif(zone, F.lit("")), F.lit("Z"))))), zone != ""
+    return F.unix_micros(F.try_to_timestamp(F.concat(full_, F.coalesce(F.nullif(zone, F.lit("")), F.lit("Z"))))), zone != ""
 
 
 def _duration(t: Column) -> tuple[Column, Column]:
@@ -161,8 +165,7 @@ def _duration(t: Column) -> tuple[Column, Column]:
     part = lambda unit, head: F.coalesce(F.regexp_extract(x, f"{head}(\\d+(?:\\.\\d+)?){unit}", 1).try_cast("decimal(30,6)"), F.lit(0))
     sign = F.when(x.startswith("-"), -1).otherwise(1)
     date, time = "^[^T]*?", "T[^T]*?"
-    kinds = [XSD + k for k in ("duration", "yearMonthDuration", "dayTimeDuration")]
-    ok = datatype(t).isin(kinds) & F.rlike(x, F.lit(full(FORMS["duration"])))
+    ok = F.rlike(x, F.lit(full(FORMS["duration"])))
     months = sign * (part("Y", date) * 12 + part("M", date))
     seconds = sign * (part("D", date) * 86400 + part("H", time) * 3600 + part("M", time) * 60 + part("S", time))
     return F.when(ok, months), F.when(ok, seconds)
@@ -172,23 +175,39 @@ def _order(a: Column, b: Column) -> Column:
     return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
 
 
-def compare(a: Column, b: Column) -> Column:
-    """-1, 0 or 1 where two terms are comparable, else null."""
-    strings = (datatype(a) == XSD + "string") & (datatype(b) == XSD + "string")
-    out = [_order(exact(a), exact(b)), _order(floating(a), floating(b)), F.when(strings, _order(lex(a), lex(b)))]
-    for kind in ("dateTime", "date", "time"):
-        (x, xz), (y, yz) = _instant(a, kind), _instant(b, kind)
-        far = 14 * _HOUR
-        out.append(F.when(xz == yz, _order(x, y)).when(x + far < y, -1).when(x - far > y, 1))
-    (m, s), (n, r) = _duration(a), _duration(b)
+def parsed(t: Column) -> Column:
+    """What ``compare_parsed`` needs of a term: only what its datatype calls for is parsed."""
+    kind = datatype(t)
+    of = lambda *names: kind.isin([XSD + n for n in names])
+    moment, zoned = _instant(t)
+    months, seconds = _duration(t)
+    return F.struct(
+        F.when(of("decimal", *INTEGERS), exact(t)).alias("exact"),
+        F.when(of("float", "double", "decimal", *INTEGERS), floating(t)).alias("number"),
+        F.when(of("string"), lex(t)).alias("text"),
+        F.when(of(*_DAYTIMES), F.struct(kind.alias("kind"), moment.alias("at"), zoned.alias("zoned"))).alias("moment"),
+        F.when(of(*_DURATIONS), F.struct(months.alias("months"), seconds.alias("seconds"))).alias("span"),
+    )
+
+
+def compare_parsed(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 where two parsed terms are comparable, else null."""
+    out = [_order(a["exact"], b["exact"]), _order(a["number"], b["number"]), _order(a["text"], b["text"])]
+    x, y, far = a["moment"], b["moment"], 14 * _HOUR
+    apart = F.when(x["at"] + far < y["at"], -1).when(x["at"] - far > y["at"], 1)
+    out.append(F.when(x["kind"] == y["kind"], F.when(x["zoned"] == y["zoned"], _order(x["at"], y["at"])).otherwise(apart)))
     # Months last 28 to 31 days: ordered only if that leaves no doubt.
-    day = 86400
-    low, high = (m - n) * 28 * day + s - r, (m - n) * 31 * day + s - r
-    both = F.least(low, high), F.greatest(low, high)
-    out.append(F.when((m == n) & (s == r), 0).when(both[1] < 0, -1).when(both[0] > 0, 1))
+    months, seconds, day = a["span"]["months"] - b["span"]["months"], a["span"]["seconds"] - b["span"]["seconds"], 86400
+    low, high = months * 28 * day + seconds, months * 31 * day + seconds
+    out.append(F.when((months == 0) & (seconds == 0), 0).when(F.greatest(low, high) < 0, -1).when(F.least(low, high) > 0, 1))
     return F.coalesce(*out)
 
 
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 where two terms are comparable, else null."""
+    return compare_parsed(parsed(a), parsed(b))
+
+
 def compare_text(a: Column, b: Column, kind: str) -> Column:
     """``compare`` for one kind of values that the caller knows both sides to have."""
     return _order(exact(a), exact(b)) if kind == "exact" else compare(a, b)

@@ -1,16 +1,18 @@
 """Selectors and ``sat``: which nodes of a domain satisfy a shape, as one lazy DataFrame.
 
-Domains and results have one column, v, of distinct terms.  Conjunctions narrow the domain,
-disjunctions try the rest, negation and counts are anti joins and grouped counts; nothing
-iterates over nodes.  Recursive shapes are fixpoints over whole strongly connected components.
+Domains and results have one column, v, of distinct terms.  Counts, pairs and other leaves are sets of
+nodes that joins and grouped counts find; conjunctions, disjunctions and negations are formulas over
+marks of these sets; nothing iterates over nodes.  Recursive shapes are fixpoints over whole strongly connected components.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shapeloom.functions.terms import compare, facet, lang
+from shapeloom.functions.terms import compare_parsed, facet, lang, parsed
 from shapeloom.operators.paths import reach
 from shapeloom.plans.paths import Inv, Pred, Seq, Star
 from shapeloom.plans.shapes import And, Closed, Count, Not, Or, Pair, Ref, Schema, Shape, Sparql, Target, Test, Top, UniqueLang, Xone, normalize, strata
@@ -56,6 +58,7 @@ class Compiler:
         self.source, self.schema = source, schema or Schema({})
         self._recursive = {n for part in strata(self.schema) if len(part) > 1 or self._self(part[0]) for n in part}
         self._assumed: dict[str, DataFrame] = {}
+        self._fixed: dict[str, tuple[DataFrame, dict[str, DataFrame]]] = {}
 
     def _self(self, name: str) -> bool:
         from shapeloom.plans.shapes import references
@@ -70,54 +73,69 @@ class Compiler:
         return domain.join(self.sat(shape, domain), "v", "left_anti")
 
     def _sat(self, s: Shape, d: DataFrame) -> DataFrame:
+        """Every leaf is one set of nodes, found once over the same domain; the shape is then a formula over a row of marks.
+
+        So the plan grows with the number of leaves, however they are combined.
+        """
+        if isinstance(s, And):  # conditions on the term alone narrow the domain first
+            plain = [x for x in s.shapes if _plain(x)]
+            for x in plain:
+                d = d.where(self._formula(x, d, {}))
+            s = And(tuple(x for x in s.shapes if x not in plain))
+        leaves: dict[Shape, tuple[str, bool, DataFrame]] = {}
+        ok = self._formula(s, d, leaves)
+        if not leaves:
+            return d.where(ok)
+        if len(leaves) == 1 and (s in leaves or (isinstance(s, Not) and s.shape in leaves)):
+            ((_, positive, found),) = leaves.values()
+            return d.join(found, "v", "left_semi" if positive == (s in leaves) else "left_anti")
+        marks = None
+        for name, _, found in leaves.values():
+            rows = found.select("v", F.lit(name).alias("m"))
+            marks = rows if marks is None else marks.unionByName(rows)
+        row = marks.groupBy("v").agg(*[F.max(F.col("m") == name).alias(name) for name, _, _ in leaves.values()])
+        return d.join(row, "v", "left").where(ok).select("v")
+
+    def _formula(self, s: Shape, d: DataFrame, leaves: dict) -> Column:
+        """A boolean column, never null, over v and the marks of ``leaves``, which it fills."""
         if isinstance(s, Top):
-            return d
+            return F.lit(True)
         if isinstance(s, Test):
-            return d.where(facet(F.col("v"), s.facet, s.value))
-        if isinstance(s, Ref):
-            return self._ref(s.name, d)
+            return facet(F.col("v"), s.facet, s.value)
         if isinstance(s, Not):
-            if isinstance(s.shape, Test):
-                return d.where(~facet(F.col("v"), s.shape.facet, s.shape.value))
-            return d.join(self._sat(s.shape, d), "v", "left_anti")
-        if isinstance(s, And):
-            for x in sorted(s.shapes, key=cost):
-                d = self._sat(x, d)
-            return d
-        if isinstance(s, Or):
-            if s.shapes and all(isinstance(x, Test) for x in s.shapes):
-                test = F.lit(False)
-                for x in s.shapes:
-                    test = test | facet(F.col("v"), x.facet, x.value)
-                return d.where(test)
-            out, rest = d.where(F.lit(False)), d
-            ordered = sorted(s.shapes, key=cost)
-            for k, x in enumerate(ordered):
-                good = self._sat(x, rest)
-                out = out.unionByName(good)
-                if k < len(ordered) - 1:
-                    rest = rest.join(good, "v", "left_anti")
-            return out
-        if isinstance(s, Xone):
-            votes = None
-            for x in s.shapes:  # a member that stands twice counts twice
-                good = self._sat(x, d).select("v")
-                votes = good if votes is None else votes.unionByName(good)
-            return votes.groupBy("v").count().where("count = 1").select("v") if votes is not None else d.where(F.lit(False))
+            return ~self._formula(s.shape, d, leaves)
+        if isinstance(s, And | Or):
+            parts = [self._formula(x, d, leaves) for x in s.shapes]
+            return reduce(lambda x, y: x & y if isinstance(s, And) else x | y, parts, F.lit(isinstance(s, And)))
+        if isinstance(s, Xone):  # a member that stands twice counts twice
+            return reduce(lambda x, y: x + y, [self._formula(x, d, leaves).cast("int") for x in s.shapes], F.lit(0)) == 1
+        if isinstance(s, Ref) and s.name not in self._assumed and s.name not in self._recursive:
+            return self._formula(normalize(self.schema.formula(s.name)), d, leaves)
+        if s not in leaves:
+            positive, found = self._leaf(s, d)
+            leaves[s] = (f"_m{len(leaves)}", positive, found)
+        name, positive, _ = leaves[s]
+        marked = F.coalesce(F.col(name), F.lit(False))
+        return marked if positive else ~marked
+
+    def _leaf(self, s: Shape, d: DataFrame) -> tuple[bool, DataFrame]:
+        """(True, nodes that satisfy a leaf) or (False, nodes that do not); nodes outside of ``d`` do no harm."""
+        if isinstance(s, Ref):
+            return True, self._ref(s.name, d)
         if isinstance(s, Closed):
             other = self.source.all().where(~F.col("p").isin(list(s.allowed))) if s.allowed else self.source.all()
-            return d.join(other.select(F.col("s").alias("v")), "v", "left_anti")
+            return False, other.select(F.col("s").alias("v")).join(d, "v", "left_semi").distinct()
         if isinstance(s, Pair):
-            return d.join(self.pair_failures(s, d).select("v"), "v", "left_anti")
+            return False, self.pair_failures(s, d).select("v").distinct()
         if isinstance(s, UniqueLang):
-            return d.join(self.repeated_tags(s, d).select("v"), "v", "left_anti")
+            return False, self.repeated_tags(s, d).select("v").distinct()
         if isinstance(s, Count):
             return self._count(s, d)
         if isinstance(s, Sparql):
             from shapeloom.operators import sparql
 
             rows = sparql.select(self.source, s.text, dict(s.prefixes), this=d)
-            return d.join(rows.select(F.col("this").alias("v")), "v", "left_anti")
+            return False, rows.select(F.col("this").alias("v")).distinct()
         raise TypeError(f"no such shape: {s}")
 
     def values(self, path, d: DataFrame) -> DataFrame:
@@ -135,16 +153,17 @@ class Compiler:
         good = self._sat(s.shape, values.select(F.col("u").alias("v")).distinct())
         return values.join(good.select(F.col("v").alias("u")), "u", "left_semi").select("v", "u")
 
-    def _count(self, s: Count, d: DataFrame) -> DataFrame:
+    def _count(self, s: Count, d: DataFrame) -> tuple[bool, DataFrame]:
         q = self.qualified(s, d)
         if s.high is None and s.low == 1:
-            return d.join(q, "v", "left_semi")
+            return True, q.select("v").distinct()
         if s.high == 0:
-            return d.join(q, "v", "left_anti")
+            return False, q.select("v").distinct()
         n = q.groupBy("v").agg(F.count("*").alias("n"))  # pairs are distinct
-        counted = d.join(n, "v", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        if s.low <= 0:
+            return False, n.where(F.col("n") > s.high).select("v")
         inside = F.col("n") >= s.low
-        return counted.where(inside if s.high is None else inside & (F.col("n") <= s.high)).select("v")
+        return True, n.where(inside if s.high is None else inside & (F.col("n") <= s.high)).select("v")
 
     def pair_failures(self, s: Pair, d: DataFrame) -> DataFrame:
         """Equals and Disjoint: (v, u) of offending values; LessThan: (v, u, w) of offending pairs."""
@@ -155,55 +174,47 @@ class Compiler:
         if s.kind == "Equals":
             missing = right.alias("r").join(left.alias("l"), same, "left_anti").select("v", F.col("w").alias("u"))
             return left.alias("l").join(right.alias("r"), same, "left_anti").unionByName(missing)
-        c = compare(F.col("u"), F.col("w"))
+        # Each side is parsed before the join, once for a value, and in a stage of its own.
+        both = left.withColumn("_a", parsed(F.col("u"))).join(right.withColumn("_b", parsed(F.col("w"))), "v")
+        c = compare_parsed(F.col("_a"), F.col("_b"))
         ok = c < 0 if s.kind == "LessThan" else c <= 0
-        return left.join(right, "v").where(~F.coalesce(ok, F.lit(False)))
+        return both.where(~F.coalesce(ok, F.lit(False))).drop("_a", "_b")
 
     def repeated_tags(self, s: UniqueLang, d: DataFrame) -> DataFrame:
         """(v, tag) of language tags that stand on more than one value."""
         tag = F.lower(lang(F.col("u")))
         return self.values(s.path, d).where(F.coalesce(tag, F.lit("")) != "").groupBy("v", tag.alias("tag")).count().where("count > 1").select("v", "tag")
 
-    # recursion: greatest fixpoint of the component, over all nodes that can be asked for
+    # recursion: greatest fixpoint of the component, over all nodes of the graph and of the domains that ask
 
     def _ref(self, name: str, d: DataFrame) -> DataFrame:
         if name in self._assumed:
             return d.join(self._assumed[name], "v", "left_semi")
-        if name not in self._recursive:
-            return self.sat(self.schema.formula(name), d)
         part = next(p for p in strata(self.schema) if name in p)
-        nodes = materialize(self.source.nodes().unionByName(d).distinct())
+        nodes, now = self._fixed.get(name, (None, {}))
+        # A domain may hold nodes that the graph does not: these are asked for in a fixpoint that has them.
+        if nodes is None or not d.join(nodes, "v", "left_anti").isEmpty():
+            nodes = materialize((self.source.nodes() if nodes is None else nodes).unionByName(d).distinct())
+            now = self._fixpoint(part, nodes)
+            self._fixed.update(dict.fromkeys(part, (nodes, now)))
+        return d.join(now[name], "v", "left_semi")
+
+    def _fixpoint(self, part: list[str], nodes: DataFrame) -> dict[str, DataFrame]:
         now = dict.fromkeys(part, nodes)
         sizes = dict.fromkeys(part, nodes.count())
         while True:
             inner = Compiler.__new__(Compiler)
-            inner.source, inner.schema, inner._recursive, inner._assumed = self.source, self.schema, self._recursive, {**self._assumed, **now}
+            inner.source, inner.schema, inner._recursive, inner._fixed = self.source, self.schema, self._recursive, self._fixed
+            inner._assumed = {**self._assumed, **now}
             new = {n: materialize(inner.sat(self.schema.formula(n), nodes)) for n in part}
             counts = {n: df.count() for n, df in new.items()}
-            now = new
             if counts == sizes:
-                break
-            sizes = counts
-        self._assumed.update(now)
-        return d.join(now[name], "v", "left_semi")
+                return new
+            now, sizes = new, counts
 
 
-def cost(s: Shape) -> int:
-    """Cheap conjuncts first: columns, then joins, then closures."""
-    if isinstance(s, Top | Test):
-        return 0
+def _plain(s: Shape) -> bool:
+    """Whether a shape is a condition on the term alone."""
     if isinstance(s, Not):
-        return cost(s.shape) + 1
-    if isinstance(s, Count):
-        return 4 + _path_cost(s.path) + cost(s.shape)
-    if isinstance(s, And | Or | Xone):
-        return 2 + sum(map(cost, s.shapes))
-    if isinstance(s, Pair | UniqueLang):
-        return 6 + _path_cost(s.path)
-    return 8
-
-
-def _path_cost(p) -> int:
-    if isinstance(p, Seq):
-        return 2 * len(p.parts) + sum(map(_path_cost, p.parts))
-    return 40 if hasattr(p, "path") and not isinstance(p, Inv) else 1
+        return _plain(s.shape)
+    return all(map(_plain, s.shapes)) if isinstance(s, And | Or | Xone) else isinstance(s, Top | Test)

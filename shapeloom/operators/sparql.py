@@ -35,6 +35,7 @@ class Unsupported(ValueError):
 
 
 TRUE, FALSE = f'"true"^^<{XSD}boolean>', f'"false"^^<{XSD}boolean>'
+ZERO = f'"0"^^<{XSD}integer>'
 
 
 class Engine:
@@ -50,6 +51,9 @@ class Engine:
         if a is None:
             return b
         shared = [n for n in a.names if n in b.names]
+        loose = next((n for n in shared if n not in a.bound or n not in b.bound), None)
+        if loose is not None and how == "inner" and extra is None and len(shared) > 1:
+            return self._join_loose(a, b, loose)
         on, left, right = None, a.df.alias("l"), b.df.alias("r")
         for n in shared:
             same = F.col(f"l.{n}") == F.col(f"r.{n}")
@@ -67,6 +71,18 @@ class Engine:
         joined = left.join(right, on, how) if on is not None else left.join(right, F.lit(True), how) if how != "inner" else left.crossJoin(right)
         return Rows(joined.select(*columns), a.bound | (b.bound if how == "inner" else set()))
 
+    def _join_loose(self, a: Rows, b: Rows, n: str) -> Rows:
+        """A join on a variable that may be unbound: rows that have it meet by equality, others by the rest."""
+        has, lacks, out = (lambda x: x.df.where(F.col(n).isNotNull())), (lambda x: x.df.where(F.col(n).isNull())), []
+        free = lambda x: Rows(lacks(x).drop(n), x.bound)
+        out.append(self.join(Rows(has(a), a.bound | {n}), Rows(has(b), b.bound | {n})))
+        if n not in a.bound:
+            out.append(self.join(free(a), b))
+        if n not in b.bound:
+            out.append(self.join(Rows(has(a), a.bound | {n}), free(b)))
+        names = [*a.names, *(x for x in b.names if x not in a.names)]
+        return Rows(reduce(lambda x, y: x.unionByName(y), [r.df.select(*names) for r in out]), a.bound | b.bound)
+
     def group(self, g: Q.Group, start: Rows | None = None) -> Rows:
         out, filters = start, []
         for part in g.parts:
@@ -238,7 +254,7 @@ class Engine:
         calls = [a for _, e in q.items if e is not None for a in Q.aggregates(e)] + [a for e in q.having for a in Q.aggregates(e)] + [a for e, _ in q.order_by for a in Q.aggregates(e)]
         extra = list(start.names) if start is not None else []
         if calls or q.group_by:
-            rows, table = self.aggregate(rows, q, calls, extra)
+            rows, table = self.aggregate(rows, q, calls, extra, start)
         else:
             table = []
         swap = lambda e: _replace(e, table)
@@ -271,7 +287,7 @@ class Engine:
             df = df.limit(q.limit) if q.limit is not None else df
         return Rows(df.select(*keep), rows.bound & set(keep))
 
-    def aggregate(self, rows: Rows, q: Q.Query, calls: list[Q.Call], extra: list[str]) -> tuple[Rows, list]:
+    def aggregate(self, rows: Rows, q: Q.Query, calls: list[Q.Call], extra: list[str], start: Rows | None = None) -> tuple[Rows, list]:
         keys = list(extra)
         for name, e in q.group_by:
             if e is not None:
@@ -291,6 +307,11 @@ class Engine:
             columns.append(self.aggregator(argument, scope(rows)).alias(name))
             table.append((call, name))
         grouped = rows.df.groupBy(*keys).agg(*columns) if columns else rows.df.select(*keys).distinct()
+        if start is not None and not q.group_by:
+            # Without GROUP BY there is one group, even of no solutions: for every start.
+            empty = {"COUNT": F.lit(ZERO), "SUM": F.lit(ZERO), "AVG": F.lit(ZERO), "GROUP_CONCAT": F.lit('""')}
+            filled = [F.coalesce(F.col(name), empty[call.name]).alias(name) if call.name in empty else F.col(name) for call, name in table]
+            grouped = start.df.select(*extra).distinct().join(grouped, extra, "left").select(*extra, *filled)
         return Rows(grouped, rows.bound & set(keys)), table
 
     def aggregator(self, call: Q.Call, s: dict) -> Column:

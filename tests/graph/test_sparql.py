@@ -55,3 +55,16 @@ def test_refusals():
     for bad in ("SELECT ?x { SERVICE <http://x> { ?x ?y ?z } }", "SELECT ?x { ?x zz:p ?y }", "DESCRIBE <x>", "SELECT ?x { ?x ?y }"):
         with pytest.raises(SparqlError):
             parse(bad, P)
+
+
+def test_one_group_for_every_focus(graph, spark):
+    foci = spark.createDataFrame([(E("a"),), (E("c"),), (E("nowhere"),)], "v string")
+    rows = sparql.select(graph, "SELECT (COUNT(?x) AS ?n) (SUM(?x) AS ?t) (MIN(?x) AS ?m) { $this ex:p ?x }", P, this=foci).collect()
+    assert {(r.this, r.n, r.t, r.m) for r in rows if r.this != E("a")} == {(E("c"), N(0), N(0), None), (E("nowhere"), N(0), N(0), None)}
+    assert [r.n for r in rows if r.this == E("a")] == [N(2)]
+
+
+def test_unbound_variables_need_no_nested_loop(graph):
+    rows = sparql.select(graph, "SELECT ?s ?q ?x { { ?s ex:n ?n OPTIONAL { ?s ex:q ?q } } { ?s ex:p ?x OPTIONAL { ?s ex:q ?q } } }", P)
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([(E("a"), None, E("b")), (E("a"), None, E("c")), (E("b"), None, E("c"))], key=str)
+    assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString()
