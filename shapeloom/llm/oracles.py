@@ -17,7 +17,7 @@ def quality_sql() -> str:
     n = words.format("l")
     ok = " AND ".join(
         [
-            f"regexp_matches(l, {lit(q.ENDS)})",
+            f"(regexp_matches(l, {lit(q.ENDS)}) OR ({n} >= {q.LONG_LINE} AND regexp_matches(l, {lit(q.INSIDE)})))",
             f"len(regexp_extract_all(l, {lit(q.MARKS)})) <= {q.MAX_MARKS} * {n}",
             f"len(regexp_extract_all(l, {lit(q.SEPARATORS)})) <= {q.MAX_SEPARATORS} * {n}",
             f"NOT (regexp_matches(l, {lit(q.PHRASES)}) AND {n} <= {q.PHRASE_WORDS})",

@@ -33,6 +33,17 @@ def test_quality(spark, odd):
     assert quality_op.judge(odd.limit(0)).count() == 0
 
 
+def test_quality_keeps_what_stays_as_it_is(spark):
+    long = "Many words stand in this line, and the sentence ends. " * 8
+    texts = [
+        "A first paragraph stands here.\n\n  A second one, with a gap.\n\n\nAnd the third ends here.\n",
+        "One line of text ends here.\nHome | News | Contact\n\nAnother line of text ends there.",
+        long + "tail", "यह एक वाक्य है।\nيبدو هذا سؤالا؟\n这是一个句子。", "short line without an end",
+    ]
+    got = [r.kept_text for r in quality_op.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()]
+    assert got == [texts[0], "One line of text ends here.\n\nAnother line of text ends there.", texts[2], texts[3], ""]
+
+
 def test_quality_verdicts_follow_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r.kept for r in queries.op4_quality(spark, sf).collect()}
