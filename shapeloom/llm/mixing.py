@@ -14,7 +14,8 @@ source is rounded alone, so that a source misses its target by less than one doc
 Defined results: a null text has size 0; a null source is a source of its own and comes last; a
 source of size 0 has target 0; repeated rows and equal doc_ids are rounded one by one; an empty
 table gives an empty result.  Nothing depends on the partitioning of the input: buckets and
-random numbers are hashes of doc_id and size.
+random numbers are hashes of doc_id, size and text.  Only rows that agree in all of these are
+interchangeable.
 """
 
 from __future__ import annotations
@@ -31,34 +32,49 @@ from shapeloom.llm.common import discard, materialize, text_of, tune, words_of
 
 BUCKET_ROWS = 4096
 FAN_IN = 16
-#: The list of sources lives on the driver; more distinct sources than this is an error.
-MAX_SOURCES = 1_000_000
 #: Up to so many sources the per-source table is broadcast (about 100 bytes a row).
 BROADCAST_SOURCES = 50_000
 
 
-def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, cap: float) -> list[float]:
-    """Share ``total`` by weight; nobody gets more than ``cap`` times its size, the excess is shared again."""
-    targets = [0.0] * len(sizes)
-    open_ = list(range(len(sizes)))
-    left = total
-    while open_ and left > 0:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * unit > cap * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = weights[i] * unit
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``rank``: place by code point, null last, from 0; sorted in ranges, so that no task has them all."""
+    order = F.col("source").asc_nulls_last()
+    parts = materialize(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()), "ranks")
+    part = F.shiftright("_id", 33)
+    counts = sorted((r["k"], r["n"]) for r in parts.groupBy(part.alias("k")).agg(F.count("*").alias("n")).collect())  # one row a partition
+    before, bases = 0, []
+    for k, n in counts:
+        bases.append((k, before - (k << 33)))
+        before += n
+    base = sources.sparkSession.createDataFrame(bases, "k long, base long")
+    return parts.join(F.broadcast(base), part == base.k).withColumn("rank", F.col("_id") + F.col("base")).drop("_id", "k", "base")
+
+
+def targets_of(sources: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """``sources`` (source, size, ...) with ``target``: ``share`` of all sizes by weight; none over ``cap`` times its size.
+
+    Shares of sources that are full go to the others by weight.  A source is full if its size for
+    each unit of weight is below a bound, so that a pass needs two sums, and few passes are needed.
+    """
+    of = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    table = materialize(ranked(sources).withColumn("weight", of), "sources")
+    total, unit = share * int(table.agg(F.sum("size")).first()[0] or 0), 0.0
+    while True:
+        full = F.col("weight") * unit > cap * F.col("size")
+        taken, open_ = table.agg(F.sum(F.when(full, F.col("size"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not open_:
+            unit = math.inf
             break
-        for i in full:
-            targets[i] = cap * sizes[i]
-            left -= targets[i]
-        gone = set(full)
-        open_ = [i for i in open_ if i not in gone]
-    return targets
+        now = max(0.0, total - cap * int(taken or 0)) / open_
+        if now <= unit:
+            break
+        unit = now
+    most = cap * F.col("size")
+    return table.withColumn("target", F.least(F.col("weight") * unit, most) if unit < math.inf else most).drop("rank", "weight")
 
 
 def _draw(seed: int, a: tuple, b: tuple) -> float:
-    return xxhash.xxh64_intdigest(f"{a[2]}:{a[3]}|{b[2]}:{b[3]}", seed) / 2.0**64
+    return xxhash.xxh64_intdigest(f"{a[2]}:{a[3]}:{a[4]}|{b[2]}:{b[3]}:{b[4]}", seed) / 2.0**64
 
 
 def duel(a: float, p: float, b: float, q: float, u: float) -> tuple[float, float]:
@@ -70,14 +86,16 @@ def duel(a: float, p: float, b: float, q: float, u: float) -> tuple[float, float
 
 
 _EPS = 1e-9
-_OUT = "source string, bucket long, doc_id long, size long, copies long, p double, open boolean"
+_KEYS = ["source", "doc_id", "size", "h"]
+_ROW = ["source", "bucket", "doc_id", "size", "h", "copies", "p"]
+_OUT = "source string, bucket long, doc_id long, size long, h long, copies long, p double, open boolean"
 
 
 def _rounder(seed: int):
     """Rows sorted by (source, bucket): all but one fractional row of a bucket get their copies."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, None  # held: [source, bucket, doc_id, size, copies, p]
+        key, held = None, None  # held: values of _ROW
 
         def close(row, out):
             if row is not None:
@@ -86,27 +104,27 @@ def _rounder(seed: int):
         for frame in frames:
             out: list[tuple] = []
             for r in frame.itertuples(index=False, name=None):
-                row = [None if x is pd.NA or (isinstance(x, float) and math.isnan(x)) else x for x in r[:6]]
-                row[2:5] = [None if x is None else int(x) for x in row[2:5]]
+                row = [None if x is pd.NA or (isinstance(x, float) and math.isnan(x)) else x for x in r]
+                row[2:6] = [None if x is None else int(x) for x in row[2:6]]
                 if (row[0], row[1]) != key:
                     close(held, out)
                     key, held = (row[0], row[1]), None
-                if row[3] == 0 and _EPS < row[5] < 1 - _EPS:  # carries no words: alone
-                    row[4] += _draw(seed, row, row) < row[5]
-                    row[5] = 0.0
-                if held is not None and _EPS < row[5] < 1 - _EPS:
-                    held[5], row[5] = duel(held[3], held[5], row[3], row[5], _draw(seed, held, row))
-                    if not _EPS < held[5] < 1 - _EPS:
-                        held[4] += round(held[5])
-                        out.append((*held[:5], 0.0, False))
+                if row[3] == 0 and _EPS < row[6] < 1 - _EPS:  # carries no words: alone
+                    row[5] += _draw(seed, row, row) < row[6]
+                    row[6] = 0.0
+                if held is not None and _EPS < row[6] < 1 - _EPS:
+                    held[6], row[6] = duel(held[3], held[6], row[3], row[6], _draw(seed, held, row))
+                    if not _EPS < held[6] < 1 - _EPS:
+                        held[5] += round(held[6])
+                        out.append((*held[:6], 0.0, False))
                         held = None
-                if _EPS < row[5] < 1 - _EPS:
+                if _EPS < row[6] < 1 - _EPS:
                     if held is not None:  # both still fractional only by rounding errors
                         close(held, out)
                     held = row
                 else:
-                    row[4] += round(row[5])
-                    out.append((*row[:5], 0.0, False))
+                    row[5] += round(row[6])
+                    out.append((*row[:6], 0.0, False))
             yield _frame(out)
         out = []
         close(held, out)
@@ -116,13 +134,12 @@ def _rounder(seed: int):
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=["source", "bucket", "doc_id", "size", "copies", "p", "open"])
-    return df.astype({"bucket": "Int64", "doc_id": "Int64", "size": "Int64", "copies": "Int64", "p": "float64", "open": "boolean"})
+    df = pd.DataFrame(rows, columns=[*_ROW, "open"])
+    return df.astype({c: "Int64" for c in ("bucket", "doc_id", "size", "h", "copies")} | {"p": "float64", "open": "boolean"})
 
 
 def _level(rows: DataFrame, seed: int) -> DataFrame:
-    keyed = rows.select("source", "bucket", "doc_id", "size", "copies", "p")
-    dealt = keyed.repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), "doc_id", "copies", "p")
+    dealt = rows.select(*_ROW).repartition("source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), "doc_id", "h", "copies", "p")
     return materialize(dealt.mapInPandas(_rounder(seed), _OUT), "mix")
 
 
@@ -136,38 +153,41 @@ def assign_copies(
     bucket_rows: int = BUCKET_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """doc_id, size, source, source_size, target and copies of each row of ``docs``.
+    """doc_id, size, h (hash of the text), source, source_size, target and copies of each row of ``docs``.
 
     Sources by code point, null last, weigh ``weights``, repeating, and share ``share`` times all
     sizes; a target stops at ``cap`` times its source's size.
     """
     spark = docs.sparkSession
     tune(spark)
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), size.cast("long").alias("size")), "sizes")
-    rows = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    sizes = [int(r["s"]) for r in rows]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), cap)
-    plan = [
-        (r["source"], s, t, math.floor(t / s) if s else 0, (t / s) % 1.0 if s else 0.0, max(1, -(-int(r["n"]) // bucket_rows)))
-        for r, s, t in zip(rows, sizes, targets, strict=True)
-    ]
-    table = spark.createDataFrame(plan, "name string, source_size long, target double, copies long, p double, buckets long")
-    table = F.broadcast(table) if len(plan) <= BROADCAST_SOURCES else table
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), size.cast("long").alias("size"), text_hash().alias("h")), "sizes")
+    sources = targets_of(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), weights, share, cap)
+    times = F.coalesce(F.try_divide("target", "size"), F.lit(0.0))
+    plan = materialize(
+        sources.select(
+            F.col("source").alias("name"),
+            F.col("size").alias("source_size"),
+            "target",
+            F.floor(times).alias("copies"),
+            (times - F.floor(times)).alias("p"),
+            F.ceil(F.col("n") / bucket_rows).alias("buckets"),
+        ),
+        "plan",
+    )
+    count, width = plan.agg(F.count("*"), F.max("buckets")).first()
+    table = F.broadcast(plan) if count <= BROADCAST_SOURCES else plan
     by_source = F.col("source").eqNullSafe(F.col("name"))
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.col("buckets"))
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "h"), F.col("buckets"))
     level = _level(sized.join(table, by_source).withColumn("bucket", bucket), seed)
-    levels, width = [level], max((p[5] for p in plan), default=1)
+    levels, width = [level], width or 1
     while width > 1:
         width = -(-width // fan_in)
         up = level.where("open").withColumn("bucket", F.floor(F.col("bucket") / fan_in))
         level = _level(up, seed + len(levels))
         levels.append(level)
-    done = [x.where("not open").select("source", "doc_id", "size", "copies") for x in levels]
-    alone = F.pmod(F.xxhash64("source", "doc_id", "size", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    last = level.where("open").select("source", "doc_id", "size", (F.col("copies") + (alone < F.col("p")).cast("long")).alias("copies"))
+    done = [x.where("not open").select(*_KEYS, "copies") for x in levels]
+    alone = F.pmod(F.xxhash64(*_KEYS, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    last = level.where("open").select(*_KEYS, (F.col("copies") + (alone < F.col("p")).cast("long")).alias("copies"))
     out = last
     for x in done:
         out = out.unionByName(x)
@@ -179,16 +199,19 @@ def text_size() -> Column:
     return F.size(words_of(text_of())).cast("long")
 
 
+def text_hash() -> Column:
+    return F.xxhash64(text_of())
+
+
 def repeated(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as decided.
 
-    Decisions are matched by doc_id, source and size; rows that share all three have theirs dealt
-    out in the order of their text hashes.
+    Decisions are matched by doc_id, source, size and text hash; rows that share all four have
+    theirs dealt out one by one.
     """
-    keys = ["doc_id", "source", "size"]
-    order = Window.partitionBy(*keys)
-    left = docs.withColumn("size", text_size()).withColumn("_k", F.row_number().over(order.orderBy(F.xxhash64("text"))))
-    right = copies.select(*keys, "copies").withColumn("_k", F.row_number().over(order.orderBy(F.desc("copies")))).where("copies > 0")
-    on = F.expr("l.doc_id <=> r.doc_id and l.source <=> r.source and l.size = r.size and l._k = r._k")
+    order = Window.partitionBy(*_KEYS)
+    left = docs.withColumn("size", text_size()).withColumn("h", text_hash()).withColumn("_k", F.row_number().over(order.orderBy("h")))
+    right = copies.select(*_KEYS, "copies").withColumn("_k", F.row_number().over(order.orderBy(F.desc("copies")))).where("copies > 0")
+    on = F.expr("l.doc_id <=> r.doc_id and l.source <=> r.source and l.size = r.size and l.h = r.h and l._k = r._k")
     joined = left.alias("l").join(right.alias("r"), on)
     return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("r.copies").cast("int")))).select(*[F.col(f"l.{c}") for c in docs.columns])

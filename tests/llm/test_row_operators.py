@@ -134,10 +134,27 @@ def test_chat_query(spark):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == chat([x[1:] for x in rows if x[0] == r.conv_id])
 
 
-def test_water_fill():
-    assert mixing.water_fill([10, 10, 10], [3, 1, 2], 45, 2) == [20, 25 / 3, 50 / 3]
-    assert mixing.water_fill([1, 0, 100], [3, 1, 2], 151.5, 2) == [2, 0, 149.5]
-    assert mixing.water_fill([], [], 0, 2) == []
+def filled(sizes, weights, total, cap):
+    """The unit u at which all min(w u, cap size) come to the total, by halving."""
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        u = (low + high) / 2
+        low, high = (u, high) if sum(min(w * u, cap * s) for s, w in zip(sizes, weights)) < total else (low, u)
+    return [min(w * high, cap * s) for s, w in zip(sizes, weights)]
+
+
+def test_targets(spark):
+    import random
+
+    rng = random.Random(6)
+    cases = [[("a", 10), ("b", 10), ("c", 10)], [("a", 1), ("b", 0), (None, 100)], [("z", 0)], [("\U0001f600", 5), ("\uffee", 70), ("é", 3), (None, 9)]]
+    cases += [[(f"s{k}", int(rng.paretovariate(0.4))) for k in range(n)] for n in (5, 300)]
+    for rows in cases:
+        order = sorted(rows, key=lambda r: (r[0] is None, [ord(c) for c in r[0] or ""]))
+        want = filled([s for _, s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(s for _, s in order), 2)
+        got = {r.source: r.target for r in mixing.targets_of(spark.createDataFrame(rows, "source string, size long"), (3, 1, 2), 1.5, 2.0).collect()}
+        assert [got[s] for s, _ in order] == pytest.approx(want, rel=1e-9)
+    assert mixing.targets_of(spark.createDataFrame([], "source string, size long"), (3, 1, 2), 1.5, 2.0).count() == 0
 
 
 def test_mixing(spark):
@@ -151,7 +168,7 @@ def test_mixing(spark):
         assert r.size == len(words(text[r.doc_id].text)) and r.taken in (0, r.size, 2 * r.size)
         taken[s], target[s], size[s] = taken.get(s, 0) + r.taken, r.target, r.source_size
     order = sorted(size)
-    expect = mixing.water_fill([size[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(size.values()), 2)
+    expect = filled([size[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(size.values()), 2)
     for s, t in zip(order, expect):
         assert target[s] == pytest.approx(t)
         assert abs(taken[s] - t) <= max(len(words(r.text)) for r in docs if r.source == s) + 1e-6
@@ -169,3 +186,15 @@ def test_mixing_tree_and_odd_rows(spark):
         assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 6
         assert all(0 <= r.copies <= 2 for r in own)
     assert mixing.assign_copies(df.limit(0), mixing.text_size()).count() == 0
+
+
+def test_rows_without_ids_are_mixed_text_by_text(spark):
+    rows = [(None, f"t{k} " + "w " * 9, "a", k) for k in range(400)] + [(None, "same text here", "b", 0)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    copies = mixing.assign_copies(df, mixing.text_size(), bucket_rows=32, fan_in=2)
+    out = mixing.repeated(df, copies).collect()
+    times = {}
+    for r in out:
+        times[r.text] = times.get(r.text, 0) + 1
+    assert len(out) == sum(r.copies for r in copies.collect()) and max(times[t] for t in times if t != "same text here") <= 2
+    assert len(times) > 300 and {r.text: r.n for r in out}["t7 " + "w " * 9] == 7
