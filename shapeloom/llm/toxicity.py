@@ -5,13 +5,13 @@ digits), pairs of neighbours and pairs with one word between, hashed into ``BUCK
 each once per text however often it occurs.  Per-coordinate learning rates and an L1 penalty
 leave a few thousand weights that differ from zero; they are broadcast (at most BUCKETS values).
 
-The model is fitted on ``MAX_LABELLED`` labelled rows at most, those with the smallest hashes of
-doc_id, in one task that reads them in that order: the bound is a parameter, and results do not
-depend on partitioning.  Every text is scored whole.
+The model is fitted on ``MAX_LABELLED`` labelled texts at most, those with the smallest hashes of
+doc_id, then of text, in one task that reads them in that order: the bound is a parameter, and results
+do not depend on partitioning.  Every text is scored whole.
 
 Defined results: a null or empty text has the score of the bias alone; labels without a value are
-left out; with no label at all every score is 0; repeated rows are scored alike; an empty table
-gives no rows.
+left out, of several for one doc_id the greatest counts; rows of equal doc_id and text are one labelled
+text; with no label at all every score is 0; repeated rows are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -95,8 +95,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     order = F.xxhash64("doc_id")
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(order, "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_labelled rows of two numbers
-    one = rows.repartition(1).sortWithinPartitions(order, "doc_id", F.xxhash64("text")).select("toxic", "text")
+    # Texts are chosen by narrow rows, so that a doc_id of very many rows cannot fill the one task.
+    own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))  # max_labelled rows of two numbers
+    keys = own.select("doc_id", "h").distinct().orderBy(order, "doc_id", "h").limit(max_labelled)
+    rows = own.join(F.broadcast(keys), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    one = rows.repartition(1).sortWithinPartitions(order, "doc_id", "h").select("toxic", "text")
     found = one.mapInArrow(_fit, "bucket long, weight double").collect()  # BUCKETS rows at most
     if not found:
         return None

@@ -175,3 +175,67 @@ def test_a_feature_counts_once():
     (block,) = blocks(pa.array(["a b a b a b", "", "b"]))
     doc, ids = toxicity.features(block)
     assert set(doc.tolist()) == {0, 2} and len(set(ids[doc == 0].tolist())) == 6
+
+
+def brute_ftrl(texts, labels):
+    """FTRL-proximal by plain loops over dictionaries: bucket -> weight (the bias at BUCKETS)."""
+    from math import exp, log, sqrt
+
+    from shapeloom.llm.common import blocks
+
+    sets = []
+    for t in texts:
+        (block,) = blocks(pa.array([t]))
+        sets.append([*sorted(set(toxicity.features(block)[1].tolist())), toxicity.BUCKETS])
+    z, n = {}, {}
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        if i < toxicity.BUCKETS:
+            if abs(a) <= toxicity.L1:
+                return 0.0
+            a -= toxicity.L1 if a > 0 else -toxicity.L1
+        return -a / ((toxicity.BETA + sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    rate = sum(labels) / len(labels)
+    z[toxicity.BUCKETS] = -log(rate / (1 - rate)) * toxicity.BETA / toxicity.ALPHA
+    rng = np.random.default_rng(1)
+    for _ in range(toxicity.EPOCHS):
+        for k in rng.permutation(len(sets)):
+            w = {i: weight(i) for i in sets[k]}
+            g = 1 / (1 + exp(-sum(w.values()))) - labels[k]
+            for i in sets[k]:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (sqrt(old + g * g) - sqrt(old)) / toxicity.ALPHA * w[i]
+                n[i] = old + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def labelled(count):
+    rng = random.Random(9)
+    word = lambda k: f"v{rng.randrange(k)}"
+    rows = [(k, " ".join([word(60) for _ in range(rng.randrange(5, 20))] + [f"vile scum{k % 8} {word(3)}"] * (k % 4 == 0)), int(k % 4 == 0) ^ (k % 23 == 0)) for k in range(count)]
+    return rows
+
+
+def test_weights_against_plain_loops(spark):
+    from pyspark.sql import functions as F
+
+    rows = labelled(400)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = toxicity.fit(docs, labels)
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    rows.sort(key=lambda r: order[r[0]])
+    want = brute_ftrl([r[1] for r in rows], [r[2] for r in rows])
+    assert len(want) > 10 and set(np.flatnonzero(got).tolist()) == set(want)
+    assert np.allclose([got[i] for i in want], list(want.values()), rtol=1e-4)
+
+
+def test_one_id_of_very_many_rows(spark):
+    rows = labelled(60)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(0, f"{rows[0][1]} w{k}") for k in range(500)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    few = toxicity.fit(docs, labels, 40)
+    assert few is not None and few.any()
+    assert np.array_equal(few, toxicity.fit(docs.repartition(7), labels, 40))
