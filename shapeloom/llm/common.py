@@ -10,6 +10,7 @@ A null text counts as an empty text.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -75,9 +76,15 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no live DataFrame needs; it does so when the driver collects garbage."""
+    """Let Spark delete shuffle files that no live DataFrame needs; it does so when the driver collects garbage.
+
+    Plans are held by objects with finalizers, so that it takes two collections.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        spark.sparkContext._jvm.System.runFinalization()
+        time.sleep(0.1)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
