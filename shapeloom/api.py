@@ -34,6 +34,10 @@ class Result:
     rows: DataFrame
     diagnostics: list[str]
 
+    def graph(self) -> TripleTable:
+        """The report as triples."""
+        return TripleTable(report.report_graph(self.rows, self.conforms))
+
 
 class Validator:
     """Shapes that are lowered once and applied to many data graphs."""
@@ -42,12 +46,12 @@ class Validator:
         self.spark, self.graph = spark, load(shapes)
         self.schema: Schema = lower(self.graph)
 
-    def validate(self, data, mode: str = "union", minimum: str = "Info") -> Result:
+    def validate(self, data, mode: str = "union", minimum: str = "Info", shapes: list[str] | None = None) -> Result:
         """``data``: foci and evaluation over the data graph; ``union``: foci from the data, evaluation over both
-        graphs; ``union-all``: both over both."""
+        graphs; ``union-all``: both over both.  ``shapes``: only the targets of these."""
         table = data if hasattr(data, "scan") else TripleTable.of(self.spark, load(data))
         source = table if mode == "data" else table.union(TripleTable.of(self.spark, self.graph))
-        rows = report.validate_rows(source, self.schema, table if mode == "union" else None)
+        rows = report.validate_rows(source, self.schema, table if mode == "union" else None, shapes)
         return Result(report.conforms(rows, f"<{SH}{minimum}>"), rows, self.schema.diagnostics)
 
 
@@ -62,6 +66,16 @@ def infer(spark: SparkSession, data, shapes=None) -> TripleTable:
     return TripleTable(run(table, lower_rules(graph, schema), schema))
 
 
+def evaluate(spark: SparkSession, expression: str, shapes=None) -> str | None:
+    """The term that a SPARQL expression over no data gives; declared functions of ``shapes`` may be called."""
+    from shapeloom.operators import sparql
+    from shapeloom.plans.functions import functions_of
+
+    graph = load(shapes) if shapes is not None else Graph()
+    empty = TripleTable(spark.createDataFrame([], "s string, p string, o string"))
+    return sparql.select(empty, f"SELECT ({expression} AS ?result) {{}}", dict(graph.prefixes), functions=functions_of(graph)).first()[0]
+
+
 def validate(spark: SparkSession, data, shapes=None, **options) -> Result:
     """Validate ``data`` against ``shapes``, or against the shapes that it holds itself."""
     return Validator(spark, shapes if shapes is not None else data).validate(data, **options)

@@ -48,13 +48,43 @@ def _reach(source, p: Path, domain: DataFrame | None) -> DataFrame:
     step = _reach(source, p.path, None)
     if isinstance(p, Opt):
         return step.unionByName(_reach(source, Id(), domain)).distinct()
-    closed = closure(step)
+    closed = remembered(source, p.path, step)
     if isinstance(p, Plus):
         return closed
     assert isinstance(p, Star)
     return closed.unionByName(_reach(source, Id(), domain)).distinct()
 
 
+def remembered(source, path: Path, step: DataFrame) -> DataFrame:
+    """The closure of a path over a source, computed once; sources do not change."""
+    memo = vars(source).setdefault("_closures", {})
+    if path not in memo:
+        memo[path] = closure(step)
+    return memo[path]
+
+
+def ends(step: DataFrame, start: str) -> DataFrame:
+    """(v): the nodes that lead from ``start`` along (v, u) pairs, itself included; a frontier walks from there."""
+    edges = [(r["v"], r["u"]) for r in step.limit(SMALL_EDGES + 1).collect()]
+    if len(edges) <= SMALL_EDGES:
+        follow: dict[str, list[str]] = {}
+        for v, u in edges:
+            follow.setdefault(v, []).append(u)
+        seen, todo = {start}, [start]
+        while todo:
+            new = [u for u in follow.get(todo.pop(), ()) if u not in seen]
+            seen.update(new)
+            todo += new
+        return step.sparkSession.createDataFrame([(v,) for v in sorted(seen)], "v string")
+    seen = front = materialize(step.sparkSession.createDataFrame([(start,)], "v string"))
+    while True:
+        after = step.join(front, "v", "left_semi").select(F.col("u").alias("v")).distinct()
+        front = materialize(after.join(seen, "v", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
 #: Up to so many edges, and pairs of their closure, a closure is computed on the driver (class hierarchies); beyond, by joins.
 SMALL_EDGES, SMALL_PAIRS = 5_000, 200_000
 

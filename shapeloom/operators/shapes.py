@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapeloom.functions.terms import compare_parsed, facet, lang, parsed
-from shapeloom.operators.paths import reach
+from shapeloom.operators.paths import ends, reach
 from shapeloom.plans.paths import Inv, Pred, Seq, Star
-from shapeloom.plans.shapes import And, Closed, Count, Not, Or, Pair, Ref, Schema, Shape, Sparql, Target, Test, Top, UniqueLang, Xone, normalize, strata
+from shapeloom.plans.shapes import And, Ask, Closed, Count, Expression, Not, Or, Pair, Ref, Schema, Shape, Sparql, Target, Test, Top, UniqueLang, Xone, normalize, strata
 from shapeloom.sources.storage import materialize
-from shapeloom.sources.terms import SUBCLASS, TYPE
+from shapeloom.sources.terms import SUBCLASS, TYPE, XSD
+
+TRUE = (f'"true"^^<{XSD}boolean>', f'"1"^^<{XSD}boolean>')
 
 
 def select(source, target: Target) -> DataFrame:
@@ -33,14 +35,21 @@ def select(source, target: Target) -> DataFrame:
 
         found = sparql.select(source, target.term, dict(target.prefixes)).select(F.col("this").alias("v")).distinct()
         return found.join(source.nodes(), "v", "left_semi")
+    if target.kind == "exists":
+        return Compiler(source).sat(Count(target.path, 1, None, target.shape), source.nodes())
     return instances(source, target.term)
 
 
 def instances(source, cls: str) -> DataFrame:
-    """Nodes whose type is the class or a subclass of it; the closure is seeded with the class."""
-    seed = source.spark.createDataFrame([(cls,)], "v string")
-    below = reach(source, Star(Inv(Pred(SUBCLASS))), seed).where(F.col("v") == cls).select(F.col("u").alias("o"))
-    return source.scan(TYPE).join(below, "o", "left_semi").select(F.col("s").alias("v")).distinct()
+    """Nodes whose type is the class or a subclass of it; only what is below the class is walked."""
+    below = ends(source.scan(SUBCLASS).select(F.col("o").alias("v"), F.col("s").alias("u")), cls)
+    return source.scan(TYPE).join(below.select(F.col("v").alias("o")), "o", "left_semi").select(F.col("s").alias("v")).distinct()
+
+
+def classes(source) -> DataFrame:
+    """(v, class): every node with its types and all classes above them."""
+    up = reach(source, Star(Pred(SUBCLASS)), source.scan(TYPE).select(F.col("o").alias("v")).distinct())
+    return source.scan(TYPE).select(F.col("s").alias("v"), F.col("o").alias("c")).join(up.select(F.col("v").alias("c"), F.col("u").alias("class")), "c").select("v", "class").distinct()
 
 
 def foci(source, targets: list[Target]) -> DataFrame:
@@ -134,10 +143,28 @@ class Compiler:
         if isinstance(s, Sparql):
             from shapeloom.operators import sparql
 
-            rows = sparql.select(self.source, s.text, dict(s.prefixes), this=d)
+            rows = sparql.select(self.source, s.text, dict(s.prefixes), this=d, functions=self.schema.functions)
             return False, rows.select(F.col("this").alias("v")).distinct()
+        if isinstance(s, Ask):
+            return False, self.refuted(s, self.values(s.path, d)).select("v").distinct()
+        if isinstance(s, Expression):
+            return False, self.untrue(s, d).select("v").distinct()
         raise TypeError(f"no such shape: {s}")
 
+    def refuted(self, s: Ask, values: DataFrame) -> DataFrame:
+        """The pairs (v, u) for which an ASK has no match."""
+        from shapeloom.operators import sparql
+
+        pairs = values.select(F.col("v").alias("this"), F.col("u").alias("value"))
+        good = sparql.ask(self.source, s.text, dict(s.prefixes), this=pairs, functions=self.schema.functions)
+        return pairs.join(good, ["this", "value"], "left_anti").select(F.col("this").alias("v"), F.col("value").alias("u"))
+
+    def untrue(self, s: Expression, d: DataFrame) -> DataFrame:
+        """(v, u): results of a node expression that are not true."""
+        from shapeloom.operators.infer import evaluate
+
+        return evaluate(self, s.expr, d).where(~F.col("u").isin(*TRUE))
+
     def values(self, path, d: DataFrame) -> DataFrame:
         """(v, u) of the nodes of a domain."""
         return reach(self.source, path, d).join(d, "v", "left_semi")

@@ -95,6 +95,8 @@ class Engine:
                 conds = [x.expr for x in part.group.parts if isinstance(x, Q.Filter_)]
                 extra = reduce(lambda x, y: Q.Call("&&", [x, y]), conds) if conds else None
                 out = self.join(out or self.unit(), self.group(inner), "left", extra)
+            elif isinstance(part, Q.Lateral_):
+                out = self.lateral(out or self.unit(), part.group)
             elif isinstance(part, Q.Union_):
                 out = self.join(out, self.union([self.group(x) for x in part.groups]))
             elif isinstance(part, Q.Minus_):
@@ -104,9 +106,7 @@ class Engine:
             elif isinstance(part, Q.Values_):
                 out = self.join(out, self.values(part))
             elif isinstance(part, Q.Graph_):
-                if not isinstance(part.name, str) or part.name not in self.graphs:
-                    raise Unsupported("GRAPH needs the name of a loaded graph")
-                out = self.join(out, Engine(self.graphs[part.name], self.graphs).group(part.group))
+                out = self.join(out, self.named(part))
             elif isinstance(part, Q.Query):
                 out = self.join(out, self.select(part))
             else:
@@ -116,6 +116,39 @@ class Engine:
             out = self.filter(out, e)
         return out
 
+    def named(self, part: Q.Graph_) -> Rows:
+        """GRAPH: over the graph of that name, or over each, whose name is then the variable's value."""
+        if isinstance(part.name, str):
+            if part.name not in self.graphs:
+                raise Unsupported(f"no graph is named {part.name}")
+            return Engine(self.graphs[part.name], self.graphs).group(part.group)
+        each = []
+        for name in self.graphs:
+            rows = Engine(self.graphs[name], self.graphs).group(part.group)
+            if part.name.name in rows.names:
+                each.append(Rows(rows.df.where(F.col(part.name.name) == name), rows.bound))
+            else:
+                each.append(Rows(rows.df.withColumn(part.name.name, F.lit(name)), rows.bound | {part.name.name}))
+        if each:
+            return self.union(each)
+        names = sorted(Q.variables(part.group) | {part.name.name})
+        return Rows(self.spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names)), set())
+
+    def lateral(self, a: Rows, g: Q.Group) -> Rows:
+        """The pattern for each row: it starts from the distinct bindings that it shares with the rows."""
+        shared = [n for n in a.names if n in Q.variables(g) or any(isinstance(x, Q.Query) for x in g.parts)]
+        start = Rows(a.df.select(*shared).distinct(), a.bound & set(shared)) if shared else None
+        if len(g.parts) == 1 and isinstance(g.parts[0], Q.Query):
+            inner = self.select(g.parts[0], start)
+        else:
+            inner = self.group(g, start)
+        if not shared:
+            return self.join(a, inner)
+        on = reduce(lambda x, y: x & y, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in shared])
+        new = [n for n in inner.names if n not in a.names]
+        df = a.df.alias("l").join(inner.df.alias("r"), on).select(*[F.col(f"l.{n}") for n in a.names], *[F.col(f"r.{n}") for n in new])
+        return Rows(df, a.bound | (inner.bound & set(new)))
+
     def union(self, parts: list[Rows]) -> Rows:
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.df for p in parts])
         return Rows(df, set.intersection(*(p.bound for p in parts)))
@@ -151,10 +184,29 @@ class Engine:
             args.append(x)
         return a, Q.Call(e.name, args, e.distinct, e.separator)
 
+    def with_exists(self, a: Rows, e):
+        """EXISTS inside an expression: a column of its own, true or false for each row."""
+        if isinstance(e, Q.Exists):
+            self.temps = getattr(self, "temps", 0) + 1
+            name, plain = f"_t{self.temps}", a.names
+            hits = self.filter(Rows(a.df.select(*plain).distinct(), a.bound), Q.Exists(e.group, True)).df
+            on = reduce(lambda x, y: x & y, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in plain], F.lit(True))
+            flag = F.when(F.col("r._hit"), F.lit(TRUE if e.positive else FALSE)).otherwise(FALSE if e.positive else TRUE)
+            df = a.df.alias("l").join(hits.withColumn("_hit", F.lit(True)).alias("r"), on, "left").select(*[F.col(f"l.{n}") for n in plain], flag.alias(name))
+            return Rows(df, a.bound | {name}), Q.Var(name)
+        if isinstance(e, Q.Call):
+            args = []
+            for x in e.args:
+                a, x = self.with_exists(a, x)
+                args.append(x)
+            return a, Q.Call(e.name, args, e.distinct, e.separator)
+        return a, e
+
     def extend(self, a: Rows, name: str, e) -> Rows:
         if name in a.names:
             raise Q.SparqlError(f"?{name} is bound already")
-        b, e = self.flat(a, e)
+        b, e = self.with_exists(a, e)
+        b, e = self.flat(b, e)
         df = b.df.withColumn(name, self.term(e, scope(b))).select(*a.names, name)
         return Rows(df, a.bound | ({name} if isinstance(e, str) else set()))
 
@@ -175,7 +227,8 @@ class Engine:
             found = inner.df.select(*shared).distinct()
             on = reduce(lambda x, y: x & y, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) if n in loose else F.col(f"l.{n}") == F.col(f"r.{n}") for n in shared])
             return Rows(a.df.alias("l").join(found.alias("r"), on, "left_semi" if e.positive else "left_anti"), a.bound)
-        b, e = self.flat(a, e)
+        b, e = self.with_exists(a, e)
+        b, e = self.flat(b, e)
         return Rows(b.df.where(self.ebv(e, scope(b))).select(*a.names), a.bound)
 
     # ------------------------------------------------------------ triples and paths
@@ -195,7 +248,7 @@ class Engine:
 
     def pattern(self, s, p, o, known: Rows | None = None) -> Rows:
         if isinstance(p, str):
-            return self.bind(self.source.scan(p), {"s": s, "o": o})
+            return self.bind(self.source.match(s if isinstance(s, str) else None, p, o if isinstance(o, str) else None).select("s", "o"), {"s": s, "o": o})
         if isinstance(p, Q.Var):
             return self.bind(self.source.all(), {"s": s, "p": p, "o": o})
         if isinstance(p, Pred):
@@ -393,7 +446,9 @@ class Engine:
                 x, y = self.text(a[0], s), self.text(a[1], s)
                 return {"STRSTARTS": x.startswith, "STRENDS": x.endswith, "CONTAINS": x.contains}[n](y)
             if n == "REGEX":
-                return F.rlike(self.text(a[0], s), F.lit(self.pattern_text(a[1:])))
+                if isinstance(a[1], str):
+                    return F.rlike(self.text(a[0], s), F.lit(self.pattern_text(a[1:])))
+                return F.rlike(self.text(a[0], s), self.flagged(a[1], a[2:], s))
             if n == "LANGMATCHES":
                 tag, r = F.lower(T.lex(self.term(a[0], s))), F.lower(T.lex(self.term(a[1], s)))
                 return F.when(r == "*", tag != "").otherwise((tag == r) | tag.startswith(F.concat(r, F.lit("-"))))
@@ -419,6 +474,14 @@ class Engine:
             raise Q.SparqlError("invalid pattern")
         return found
 
+    def flagged(self, pattern, flags: list, s: dict) -> Column:
+        """A pattern that is a value of the row; its flags are constant."""
+        from shapeloom.sources.terms import parts
+
+        if not all(isinstance(x, str) for x in flags):
+            raise Unsupported("flags are constants")
+        return F.concat(F.lit(f"(?{parts(flags[0])[1]})" if flags else ""), self.text(pattern, s))
+
     def text(self, e, s: dict) -> Column:
         """Lexical form of a string argument; null for other terms."""
         t = self.term(e, s)
@@ -448,7 +511,8 @@ class Engine:
                 start = T.exact(arg(1)).cast("int")
                 out = F.substring(x, start, T.exact(arg(2)).cast("int") if len(a) > 2 else F.lit(1 << 30))
             elif n == "REPLACE":
-                out = F.regexp_replace(x, F.lit(self.pattern_text([a[1], *a[3:]])), self.text(a[2], s))
+                pattern = F.lit(self.pattern_text([a[1], *a[3:]])) if isinstance(a[1], str) else self.flagged(a[1], a[3:], s)
+                out = F.regexp_replace(x, pattern, self.text(a[2], s))
             else:
                 y = self.text(a[1], s)
                 at = F.call_function("instr", x, y)
@@ -478,6 +542,22 @@ class Engine:
             x = F.nullif(F.regexp_extract(T.lex(arg(0)), part, 1), F.lit(""))
             ok = T.has_type(arg(0), "dateTime") | T.has_type(arg(0), "date")
             return F.when(ok, T.make_literal(trim(x.cast("decimal(38,18)")), "decimal" if n == "SECONDS" else "integer"))
+        if n in ("TZ", "TIMEZONE"):
+            zone = F.nullif(F.regexp_extract(T.lex(arg(0)), r"(Z|[+-]\d\d:\d\d)$", 1), F.lit(""))
+            if n == "TZ":
+                return F.when(T.has_type(arg(0), "dateTime"), string(F.coalesce(zone, F.lit(""))))
+            part = lambda k: F.regexp_extract(zone, r"(\d\d):(\d\d)", k).try_cast("int")
+            some = lambda k, unit: F.when(part(k) > 0, F.concat(part(k).cast("string"), F.lit(unit))).otherwise("")
+            text = F.concat(F.when(zone.startswith("-"), "-").otherwise(""), F.lit("PT"), some(1, "H"), some(2, "M"))
+            return F.when(T.has_type(arg(0), "dateTime") & zone.isNotNull(), T.make_literal(F.when(zone.isin("Z", "+00:00", "-00:00"), "PT0S").otherwise(text), "dayTimeDuration"))
+        if n == "NOW":
+            return T.make_literal(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), "dateTime")
+        if n == "RAND":
+            return T.make_literal(F.rand().cast("string"), "double")
+        if n in ("UUID", "STRUUID"):
+            return F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")) if n == "UUID" else string(F.expr("uuid()"))
+        if n == "BNODE":
+            return F.concat(F.lit("_:b"), F.md5(self.text(a[0], s).cast("binary")) if a else F.regexp_replace(F.expr("uuid()"), "-", ""))
         if n == "IF":
             c = self.ebv(a[0], s)
             return F.when(c, arg(1)).when(~c, arg(2))
@@ -578,27 +658,30 @@ def order_key(t: Column) -> list[Column]:
 # ---------------------------------------------------------------- entry points
 
 
-def select(source, text: str, prefixes: dict | None = None, this: DataFrame | None = None, graphs: dict | None = None) -> DataFrame:
-    """Rows of a SELECT; with ``this`` (a column of foci), ?this is pre-bound to each of them."""
-    q = Q.parse(text, prefixes)
-    start = Rows(this.select(F.col(this.columns[0]).alias("this")), {"this"}) if this is not None else None
-    return Engine(source, graphs).select(q, start).df
+def _start(this: DataFrame | None) -> Rows | None:
+    """Pre-bound rows: the first column is ?this, others are variables of their names."""
+    if this is None:
+        return None
+    first, *more = this.columns
+    return Rows(this.select(F.col(first).alias("this"), *more), {"this", *more})
 
 
-def ask(source, text: str, prefixes: dict | None = None, this: DataFrame | None = None) -> bool | DataFrame:
-    """Whether the pattern has a match; with ``this``, the foci for which it has one."""
-    q = Q.parse(text, prefixes)
-    if this is None:
-        return not Engine(source).group(q.where).df.isEmpty()
-    start = Rows(this.select(F.col(this.columns[0]).alias("this")), {"this"})
-    return Engine(source).group(q.where, start).df.select("this").distinct()
+def select(source, text: str, prefixes: dict | None = None, this: DataFrame | None = None, graphs: dict | None = None, functions: dict | None = None) -> DataFrame:
+    """Rows of a SELECT; with ``this`` (a column of foci, and others), ?this is pre-bound to each of them."""
+    return Engine(source, graphs).select(Q.parse(text, prefixes, functions), _start(this)).df
+
 
+def ask(source, text: str, prefixes: dict | None = None, this: DataFrame | None = None, graphs: dict | None = None, functions: dict | None = None) -> bool | DataFrame:
+    """Whether the pattern has a match; with ``this``, the pre-bound rows for which it has one."""
+    q, start = Q.parse(text, prefixes, functions), _start(this)
+    found = Engine(source, graphs).group(q.where, start).df
+    return not found.isEmpty() if start is None else found.select(*start.names).distinct()
 
-def construct(source, text: str, prefixes: dict | None = None, this: DataFrame | None = None) -> DataFrame:
+
+def construct(source, text: str, prefixes: dict | None = None, this: DataFrame | None = None, graphs: dict | None = None, functions: dict | None = None) -> DataFrame:
     """(s, p, o) of a CONSTRUCT.  Blank nodes make no triples, nor do unbound or misplaced terms."""
-    q = Q.parse(text, prefixes)
-    start = Rows(this.select(F.col(this.columns[0]).alias("this")), {"this"}) if this is not None else None
-    rows = Engine(source).group(q.where, start)
+    q = Q.parse(text, prefixes, functions)
+    rows = Engine(source, graphs).group(q.where, _start(this))
     at = lambda x: F.lit(x) if isinstance(x, str) else (F.col(x.name) if x.name in rows.names else F.lit(None).cast("string"))
     out = None
     for t in q.template:
@@ -606,3 +689,21 @@ def construct(source, text: str, prefixes: dict | None = None, this: DataFrame |
         out = made if out is None else out.unionByName(made)
     ok = F.col("s").startswith("<") & F.col("p").startswith("<") & F.col("o").isNotNull() & ~F.col("o").startswith("_:")
     return out.where(ok).distinct()
+
+
+def describe(source, text: str, prefixes: dict | None = None, graphs: dict | None = None) -> DataFrame:
+    """(s, p, o): the triples whose subject is a named or found resource."""
+    q = Q.parse(text, prefixes)
+    found = source.spark.createDataFrame([(x,) for x in q.template], "v string")
+    if q.where.parts:
+        rows = Engine(source, graphs).group(q.where)
+        for n in [n for n, _ in q.items] or ([] if q.template else [n for n in rows.names if not n.startswith("_")]):
+            found = found.unionByName(rows.df.select(F.col(n).alias("v")))
+    triples = source.all()
+    return triples.join(found.distinct(), triples.s == found.v, "left_semi").select("s", "p", "o")
+
+
+def query(source, text: str, prefixes: dict | None = None, **options) -> DataFrame | bool:
+    """Any query form: rows, triples, or whether there is a match."""
+    run = {"SELECT": select, "ASK": ask, "CONSTRUCT": construct, "DESCRIBE": describe}
+    return run[Q.parse(text, prefixes, options.get("functions")).kind](source, text, prefixes, **options)

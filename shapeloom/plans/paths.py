@@ -75,6 +75,25 @@ def from_graph(g: Graph, node: str, seen: frozenset = frozenset()) -> Path:
     raise PathError(f"not a path: {node}")
 
 
+def from_text(text: str, prefixes: dict[str, str] | None = None) -> Path:
+    """The path that a SPARQL path text describes; negated property sets are refused."""
+    from shapeloom.plans import sparql
+
+    p = sparql._Parser(text, dict(prefixes or {}), {})
+    found = p.path()
+    if p.kind() != "end":
+        raise PathError(f"unexpected {p.peek()!r}")
+
+    def check(x) -> None:
+        if isinstance(x, sparql.NotIn):
+            raise PathError("negated property sets are no key paths")
+        for y in [*getattr(x, "parts", ()), *([x.path] if hasattr(x, "path") else [])]:
+            check(y)
+
+    check(found)
+    return Pred(found) if isinstance(found, str) else found
+
+
 def normalize(p: Path) -> Path:
     """Inverses at the leaves, flat sequences and alternatives without repeats, simple closures."""
     if isinstance(p, Inv):

@@ -91,6 +91,22 @@ class Sparql(Shape):
     prefixes: tuple[tuple[str, str], ...] = ()
 
 
+@dataclass(frozen=True)
+class Ask(Shape):
+    """Holds for nodes for all of whose values an ASK with $this and $value bound to them has a match."""
+
+    path: Path
+    text: str
+    prefixes: tuple[tuple[str, str], ...] = ()
+
+
+@dataclass(frozen=True)
+class Expression(Shape):
+    """Holds for nodes for which a node expression gives true and nothing else."""
+
+    expr: object
+
+
 def every(path: Path, shape: Shape) -> Shape:
     return Count(path, 0, 0, Not(shape))
 
@@ -104,11 +120,13 @@ def class_test(cls: str) -> Shape:
 
 @dataclass(frozen=True)
 class Target:
-    """kind: class, node, subjectsOf, objectsOf or sparql (``term`` is then a SELECT of ?this)."""
+    """kind: class, node, subjectsOf, objectsOf, sparql (``term`` is then a SELECT of ?this) or exists (a path to a shape)."""
 
     kind: str
     term: str
     prefixes: tuple[tuple[str, str], ...] = ()
+    path: Path | None = None
+    shape: Shape | None = None
 
 
 @dataclass
@@ -136,6 +154,7 @@ class Definition:
 class Schema:
     shapes: dict[str, Definition]
     diagnostics: list[str] = field(default_factory=list)
+    functions: dict = field(default_factory=dict)
 
     def formula(self, name: str) -> Shape:
         """What a node has to satisfy to conform to a shape."""
@@ -164,8 +183,12 @@ class Schema:
             return Count(path, v, None, self.qualifier(c))
         if n == "QualifiedMaxCount":
             return Count(path, 0, v, self.qualifier(c))
-        if n == "SPARQL":
+        if n in ("SPARQL", "Custom"):
+            if c.extra.get("kind") == "ask":
+                return Ask(path if n == "Custom" else Id(), v, c.extra["prefixes"])
             return Sparql(v, c.extra["prefixes"])
+        if n == "Expression":
+            return Expression(v)
         own = self.value_test(c)
         return own if d.path is None else every(path, own)
 
@@ -217,10 +240,16 @@ def sh(name: str) -> str:
 
 def lower(g: Graph) -> Schema:
     """The schema of a shapes graph: every shape that is declared, targeted or referred to."""
-    schema = Schema({})
+    from shapeloom.plans.functions import components_of, functions_of, refused
+
+    schema = Schema({}, functions=functions_of(g))
+    schema.diagnostics += [f"{x}: JavaScript is not run" for x in refused(g)]
+    custom = components_of(g)
     classes = {f"<{RDFS}Class>", "<http://www.w3.org/2002/07/owl#Class>"}
-    heads = [s for s, p, o in g.triples if (p == TYPE and o in (sh("NodeShape"), sh("PropertyShape"))) or p in (sh("path"), sh("sparql"), sh("rule"), sh("target"), sh("targetClass"), sh("targetNode"), sh("targetSubjectsOf"), sh("targetObjectsOf"))]
+    heads = [s for s, p, o in g.triples if (p == TYPE and o in (sh("NodeShape"), sh("PropertyShape"))) or p in (sh("sparql"), sh("expression"), sh("rule"), sh("target"), sh("targetClass"), sh("targetNode"), sh("targetSubjectsOf"), sh("targetObjectsOf"))]
     heads += [o for s, p, o in g.triples if p in (sh("condition"), sh("filterShape"))]
+    declared = {o for s, p, o in g.triples if p == sh("parameter")}
+    heads += [s for s in g.subjects_of(sh("path")) if s not in declared]
     todo, siblings = sorted(dict.fromkeys(heads)), _siblings(g)
     while todo:
         s = todo.pop()
@@ -228,7 +257,7 @@ def lower(g: Graph) -> Schema:
             continue
         d = schema.shapes[s] = Definition(s)
         try:
-            _fill(g, d, siblings)
+            _fill(g, d, siblings, custom, schema.functions)
         except ValueError as e:
             schema.diagnostics.append(f"{s}: {e}")
             d.deactivated = True
@@ -296,7 +325,7 @@ def checked(text: str, prefixes: tuple[tuple[str, str], ...]) -> str:
     return text
 
 
-def _fill(g: Graph, d: Definition, siblings: dict[str, list[str]]) -> None:
+def _fill(g: Graph, d: Definition, siblings: dict[str, list[str]], custom: list = (), functions: dict | None = None) -> None:
     s = d.id
     lexical = lambda t: parts(t)[1]
     true = lambda name: any(lexical(o) in ("true", "1") for o in g.objects(s, sh(name)))
@@ -349,14 +378,29 @@ def _fill(g: Graph, d: Definition, siblings: dict[str, list[str]]) -> None:
     for name in ("and", "or", "xone"):
         for o in g.objects(s, sh(name)):
             add(name.capitalize(), tuple(g.items(o)))
-    for o in g.objects(s, sh("sparql")):
-        if (query := g.value(o, sh("select"))) is not None and not any(lexical(x) == "true" for x in g.objects(o, sh("deactivated"))):
-            from shapeloom.plans.paths import render as shown
+    from shapeloom.plans.functions import bind
+    from shapeloom.plans.paths import render as shown
 
+    at_path = lambda text: text.replace("$PATH", shown(d.path, False) if d.path is not None else "$PATH")
+    for o in g.objects(s, sh("sparql")):
+        kind = next((k for k in ("select", "ask") if g.value(o, sh(k)) is not None), None)
+        if kind is not None and not any(lexical(x) == "true" for x in g.objects(o, sh("deactivated"))):
             prefixes = prefixes_of(g, o)
-            text = lexical(query).replace("$PATH", shown(d.path, False) if d.path is not None else "$PATH")
+            text = bind(at_path(lexical(g.value(o, sh(kind)))), {"currentShape": s} if s.startswith("<") else {})
             note = g.value(o, sh("message"))
-            add("SPARQL", checked(text, prefixes), prefixes=prefixes, message=lexical(note) if note else None)
+            add("SPARQL", checked(text, prefixes), prefixes=prefixes, message=lexical(note) if note else None, kind=kind)
+    for c in custom:
+        values = {p.name: v for p in c.parameters if (v := g.value(s, p.path)) is not None}
+        validator = c.validator(d.path is not None)
+        if validator is None or any(p.name not in values and not p.optional for p in c.parameters):
+            continue
+        named = {k: v for k, v in (values | {"currentShape": s}).items() if not v.startswith("_:")}
+        text = checked(bind(at_path(validator.text), named), validator.prefixes)
+        add("Custom", text, prefixes=validator.prefixes, kind=validator.kind, iri=c.iri, parameters=values, message=validator.messages[0] if validator.messages else None)
+    for o in g.objects(s, sh("expression")):
+        from shapeloom.operators.infer import lower_expr
+
+        add("Expression", lower_expr(g, o, functions))
     q = g.value(s, sh("qualifiedValueShape"))
     if q is not None and d.path is not None:
         extra = {"shape": q, "siblings": tuple(dict.fromkeys(siblings.get(s, ()))) if true("qualifiedValueShapesDisjoint") else ()}
@@ -417,12 +461,21 @@ def references(s: Shape, positive: bool = True) -> list[tuple[str, bool]]:
         return [r for x in s.shapes for r in references(x, positive)]
     if isinstance(s, Xone):
         return [r for x in s.shapes for sign in (True, False) for r in references(x, sign)]
+    if isinstance(s, Expression):
+        return [(n, sign) for n in _named(s.expr) for sign in (True, False)]
     if isinstance(s, Count):
         out = references(s.shape, positive) if s.low > 0 else []
         return out + (references(s.shape, not positive) if s.high is not None else [])
     return []
 
 
+def _named(expr) -> list[str]:
+    """Shapes that the filters of a node expression name."""
+    own = [n for n, _ in references(expr.shape)] if isinstance(getattr(expr, "shape", None), Shape) else []
+    inner = [*getattr(expr, "parts", ()), *getattr(expr, "args", ()), *([expr.of] if hasattr(expr, "of") else [])]
+    return own + [n for x in inner for n in _named(x)]
+
+
 class NotStratified(ValueError):
     pass
 
@@ -481,6 +534,10 @@ def render(s: Shape) -> str:
         return f"@{s.name}"
     if isinstance(s, Sparql):
         return f"sparql({' '.join(s.text.split())})"
+    if isinstance(s, Ask):
+        return f"ask({path(s.path)}, {' '.join(s.text.split())})"
+    if isinstance(s, Expression):
+        return f"expression({s.expr})"
     if isinstance(s, Test):
         return f"{s.facet}({s.value})"
     if isinstance(s, Closed):

@@ -60,6 +60,13 @@ class Minus_:
     group: Group
 
 
+@dataclass
+class Lateral_:
+    """A pattern that is evaluated for each row before it."""
+
+    group: Group
+
+
 @dataclass
 class Filter_:
     expr: object
@@ -130,8 +137,9 @@ _TOKEN = re.compile(
 )
 
 
-def parse(text: str, prefixes: dict[str, str] | None = None) -> Query:
-    p = _Parser(text, dict(prefixes or {}))
+def parse(text: str, prefixes: dict[str, str] | None = None, functions: dict | None = None) -> Query:
+    """``functions``: declared functions by IRI, whose calls are replaced by their bodies."""
+    p = _Parser(text, dict(prefixes or {}), functions or {})
     q = p.query()
     if p.kind() != "end":
         raise SparqlError(f"unexpected {p.peek()!r}")
@@ -139,8 +147,8 @@ def parse(text: str, prefixes: dict[str, str] | None = None) -> Query:
 
 
 class _Parser:
-    def __init__(self, text: str, prefixes: dict[str, str]):
-        self.prefixes, self.base, self.tokens, at = prefixes, "", [], 0
+    def __init__(self, text: str, prefixes: dict[str, str], functions: dict):
+        self.prefixes, self.functions, self.base, self.tokens, at = prefixes, functions, "", [], 0
         while at < len(text):
             m = _TOKEN.match(text, at)
             if not m:
@@ -191,6 +199,8 @@ class _Parser:
             else:
                 self.next()
                 self.base = self.next()[1][1:-1]
+        if self.word("DESCRIBE"):
+            return self.describe()
         kind = self.word("SELECT", "ASK", "CONSTRUCT")
         if not kind:
             raise SparqlError(f"unsupported query form {self.peek()!r}")
@@ -207,6 +217,19 @@ class _Parser:
         self.modifiers(q)
         return q
 
+    def describe(self) -> Query:
+        """``items`` names variables (none: all), ``template`` holds the constants."""
+        names, constants = [], []
+        while not self.mark("*") and (self.kind() == "var" or self.peek().startswith("<") or ":" in self.peek()):
+            if self.kind() == "var":
+                names.append((self.next()[1][1:], None))
+            else:
+                constants.append(self.term())
+        self.word("WHERE")
+        q = Query("DESCRIBE", self.group() if self.peek() == "{" else Group(), names, template=constants)
+        self.modifiers(q)
+        return q
+
     def select(self) -> Query:
         distinct = self.word("DISTINCT", "REDUCED") == "DISTINCT"
         items = []
@@ -282,6 +305,9 @@ class _Parser:
             elif w == "OPTIONAL":
                 self.next()
                 g.parts.append(Optional_(self.group()))
+            elif w == "LATERAL":
+                self.next()
+                g.parts.append(Lateral_(self.group()))
             elif w == "MINUS":
                 self.next()
                 g.parts.append(Minus_(self.group()))
@@ -531,7 +557,12 @@ class _Parser:
             return Call(name, self.arguments())
         t = self.term()
         if isinstance(t, str) and t.startswith("<") and self.peek() == "(":
-            return Call(t, self.arguments())
+            args = self.arguments()
+            if t in self.functions:
+                from shapeloom.plans.functions import inline
+
+                return inline(self.functions[t], args)
+            return Call(t, args)
         return t
 
 
@@ -549,7 +580,7 @@ def variables(e) -> set[str]:
         return set().union(*map(variables, e.triples))
     if isinstance(e, Group):
         return set().union(*map(variables, e.parts))
-    if isinstance(e, Optional_ | Graph_):
+    if isinstance(e, Optional_ | Graph_ | Lateral_):
         return variables(e.group)
     if isinstance(e, Union_):
         return set().union(*map(variables, e.groups))

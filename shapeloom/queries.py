@@ -14,6 +14,7 @@ from shapeloom.operators.paths import reach
 from shapeloom.operators.shapes import Compiler, select
 from shapeloom.plans.paths import Alt, Id, Inv, Opt, Plus, Pred, Seq, Star
 from shapeloom.plans.shapes import And, Closed, Component, Count, Definition, Not, Or, Pair, Ref, Schema, Target, Test, UniqueLang, Xone, every, sh
+from shapeloom.sources.storage import materialize
 from shapeloom.sources.terms import SUBCLASS, TYPE, XSD
 from shapeloom.sources.triples import MappedTables, Mapping, TripleTable, node, value
 
@@ -79,6 +80,11 @@ def tables(spark: SparkSession, sf_dir: str) -> MappedTables:
             p("url"): one("pages", page, value("url")),
             p("next"): one("conversations", turn, next_turn),
             p("role"): one("conversations", turn, value("role")),
+            p("amount"): one("part", part, F.when(F.col("p_size") <= 25, value("p_size", "integer")).otherwise(value("p_size", "decimal"))),
+            p("small"): one("part", part, F.concat(F.lit('"'), (F.col("p_size") * 5).cast("string"), F.lit(f'"^^<{XSD}byte>'))),
+            p("party"): one("orders", order, F.when(F.col("o_orderstatus") == "F", node(EX + "customer/", "o_custkey")).otherwise(value("o_orderpriority"))),
+            p("mark"): one("orders", order, F.when(F.col("o_orderkey") % 3 == 0, value("o_orderstatus")).otherwise(F.lit('"Z"'))),
+            p("of"): [Mapping("documents", F.concat(F.lit(f"<{EX}pair/"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(">")), F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('"@'), F.col("lang")))],
             p("utype"): one("events", event, value("event_type")),
             p("user"): one("events", event, node(EX + "customer/", "user_id")),
         },
@@ -191,23 +197,23 @@ def _every(name: str, kind: str, pred: str, facet: Test, sql: str):
 
 _every("in_list", "in", "priority", Test("in", (text("1-URGENT"), text("2-HIGH"))), "SELECT o_orderkey AS focus FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
 _every("has_value", "in", "segment", Test("in", (text("BUILDING"),)), "SELECT c_custkey AS focus FROM customer WHERE c_mktsegment <> 'BUILDING'")
-_every("datatype", "d", "size", Test("datatype", XSD + "byte"), "SELECT p_partkey AS focus FROM part")
-_every("datatype_valid", "d", "size", Test("datatype", XSD + "integer"), "SELECT p_partkey AS focus FROM part WHERE false")
-_every("node_kind", "k", "cnation", Test("nodeKind", ("Literal",)), "SELECT c_custkey AS focus FROM customer")
+_every("datatype", "d", "amount", Test("datatype", XSD + "integer"), "SELECT p_partkey AS focus FROM part WHERE p_size > 25")
+_every("datatype_valid", "d", "small", Test("datatype", XSD + "byte"), "SELECT p_partkey AS focus FROM part WHERE p_size * 5 > 127")
+_every("node_kind", "k", "party", Test("nodeKind", ("IRI",)), "SELECT o_orderkey AS focus FROM orders WHERE o_orderstatus <> 'F'")
 _every("range_inclusive", "r", "acctbal", Test("minInclusive", num(0)), "SELECT c_custkey AS focus FROM customer WHERE c_acctbal < 0")
 _every("range_exclusive", "r", "size", Test("maxExclusive", num(25, "integer")), "SELECT p_partkey AS focus FROM part WHERE p_size >= 25")
-_every("range_dates", "r", "orderdate", Test("minInclusive", num("1995-01-01T00:00:00", "dateTime")), "SELECT o_orderkey AS focus FROM orders WHERE date_trunc('second', o_orderdate) < TIMESTAMP '1995-01-01'")
+_every("range_dates", "r", "orderdate", Test("minInclusive", num("1998-01-01T00:00:00", "dateTime")), "SELECT o_orderkey AS focus FROM orders WHERE date_trunc('second', o_orderdate) < TIMESTAMP '1998-01-01'")
 _every("min_length", "l", "pname", Test("minLength", 12), "SELECT p_partkey AS focus FROM part WHERE length(p_name) < 12")
 _every("max_length", "l", "text", Test("maxLength", 3000), "SELECT doc_id AS focus FROM documents WHERE length(text) > 3000")
-_every("pattern", "p", "url", Test("pattern", (r"^https?://[^/]+/[a-z]", None)), "SELECT page_id AS focus FROM pages WHERE NOT regexp_matches(url, '^https?://[^/]+/[a-z]')")
+_every("pattern", "p", "url", Test("pattern", (r"[02468]$", None)), "SELECT page_id AS focus FROM pages WHERE NOT regexp_matches(url, '[02468]$')")
 _every("pattern_flags", "p", "pname", Test("pattern", ("^RED ", "i")), "SELECT p_partkey AS focus FROM part WHERE NOT regexp_matches(p_name, '^RED ', 'i')")
 _every("language_in", "g", "text", Test("languageIn", ("en", "de")), "SELECT doc_id AS focus FROM documents WHERE lang NOT IN ('en', 'de')")
 
 
-@query("SELECT 'source/' || source AS focus FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source HAVING count(*) > 1 AND false UNION ALL SELECT 'source/' || source FROM (SELECT DISTINCT source, substr(source, 1, 3) AS c, lang FROM documents) GROUP BY source, lang HAVING count(*) > 1")
+@query("SELECT DISTINCT floor(doc_id / 2)::BIGINT AS focus FROM documents GROUP BY floor(doc_id / 2), lang HAVING count(*) > 1")
 def unique_lang(spark, sf):
     g = tables(spark, sf)
-    return failing(g, _nodes(g, "subjectsOf", p("content")), UniqueLang(P("content"))).select(F.substring_index(lex(F.col("v")), EX, -1).alias("focus"))
+    return failing(g, _nodes(g, "subjectsOf", p("of")), UniqueLang(P("of"))).select(_int("v", "focus"))
 
 
 # ---------------------------------------------------------------- pairs
@@ -225,16 +231,16 @@ def less_than_or_equals(spark, sf):
     return failing(g, _nodes(g, "subjectsOf", p("orderdate")), Pair("LessThanOrEquals", P("orderdate"), p("shipped"))).select(_int("v", "focus"))
 
 
-@query("SELECT p_partkey AS focus FROM part WHERE p_brand <> p_type")
+@query("SELECT o_orderkey AS focus FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus <> 'Z'")
 def equals(spark, sf):
     g = tables(spark, sf)
-    return failing(g, _nodes(g, "subjectsOf", p("brand")), Pair("Equals", P("brand"), p("ptype"))).select(_int("v", "focus"))
+    return failing(g, _nodes(g, "subjectsOf", p("status")), Pair("Equals", P("status"), p("mark"))).select(_int("v", "focus"))
 
 
-@query("SELECT n_nationkey AS focus FROM nation WHERE n_nationkey = n_regionkey AND false")
+@query("SELECT o_orderkey AS focus FROM orders WHERE o_orderkey % 3 = 0 OR o_orderstatus = 'Z'")
 def disjoint(spark, sf):
     g = tables(spark, sf)
-    return failing(g, _nodes(g, "subjectsOf", p("nname")), Pair("Disjoint", P("nname"), p("region"))).select(_int("v", "focus"))
+    return failing(g, _nodes(g, "subjectsOf", p("status")), Pair("Disjoint", P("status"), p("mark"))).select(_int("v", "focus"))
 
 
 @query("SELECT c_custkey AS focus FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -426,6 +432,146 @@ def statistics(spark, sf):
     return TripleTable(rows).statistics().select(key("p").alias("p"), "n")
 
 
+# ---------------------------------------------------------------- queries inside shapes, functions, reports as data
+
+
+_RICH = f"?value >= {num(5000)}"
+
+
+def _component(kind: str, query: str, **extra) -> Component:
+    return Component("Custom", query, {"kind": kind, "prefixes": (("ex", EX),), "iri": p("Rich"), "message": None, "parameters": {}} | extra)
+
+
+@query("SELECT c_custkey AS focus, c_acctbal < 5000 AS poor FROM customer WHERE c_acctbal < 5000")
+def custom_component(spark, sf):
+    """A component with an ASK validator for every value."""
+    g = tables(spark, sf)
+    s = Schema({"<rich>": Definition("<rich>", P("acctbal"), p("acctbal"), [_component("ask", f"ASK {{ FILTER ({_RICH}) }}")], [Target("subjectsOf", p("acctbal"))])})
+    return report.validate_rows(g, s).select(_int("focus", "focus"), (F.col("component") == p("Rich")).alias("poor"))
+
+
+@query("SELECT c_custkey AS focus, 'balance of ' || c_custkey || ' is low' AS message FROM customer WHERE c_acctbal < 0")
+def message_template(spark, sf):
+    g = tables(spark, sf)
+    part = Component("SPARQL", "SELECT $this ?key { $this ex:acctbal ?b FILTER (?b < 0) BIND (STRAFTER(STR($this), 'customer/') AS ?key) }", {"kind": "select", "prefixes": (("ex", EX),), "message": "balance of {?key} is low"})
+    s = Schema({"<low>": Definition("<low>", None, None, [part], [Target("subjectsOf", p("acctbal"))])})
+    return report.validate_rows(g, s).select(_int("focus", "focus"), "message")
+
+
+@query("SELECT c_custkey AS focus FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def ask_constraint(spark, sf):
+    from shapeloom.plans.shapes import Ask
+
+    g = tables(spark, sf)
+    shape = Ask(Id(), f'ASK {{ ?o ex:custkey $this ; ex:priority {text("1-URGENT")} }}', (("ex", EX),))
+    return failing(g, _nodes(g, "subjectsOf", p("acctbal")), shape).select(_int("v", "focus"))
+
+
+def _big():
+    from shapeloom.plans.functions import Function, Parameter
+
+    return Function(p("big"), (Parameter("x", p("x")),), "ASK { FILTER ($x > 40) }", ())
+
+
+@query("SELECT p_partkey AS focus FROM part WHERE p_size <= 40")
+def expression_constraint(spark, sf):
+    from shapeloom.operators.infer import Apply
+    from shapeloom.plans.shapes import Expression
+
+    g = tables(spark, sf)
+    return failing(g, _nodes(g, "subjectsOf", p("size")), Expression(Apply(_big(), (Along(P("size")),)))).select(_int("v", "focus"))
+
+
+@query("SELECT p_partkey AS part FROM part WHERE p_size > 40")
+def sparql_function(spark, sf):
+    from shapeloom.operators import sparql
+
+    found = sparql.select(tables(spark, sf), "SELECT ?s { ?s ex:size ?n FILTER (ex:big(?n)) }", {"ex": EX}, functions={p("big"): _big()})
+    return found.select(_int("s", "part"))
+
+
+@query("SELECT c_custkey AS focus, 'MinInclusive' AS component FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'In' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION ALL SELECT c_custkey, 'MinCount' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def report_graph(spark, sf):
+    """The report as triples, read back by a SPARQL query."""
+    from shapeloom.operators import sparql
+
+    g = TripleTable(materialize(report.report_graph(report.validate_rows(tables(spark, sf), customer_schema()), False)))
+    rows = sparql.select(g, "SELECT ?f ?c { ?report sh:result ?r . ?r sh:focusNode ?f ; sh:sourceConstraintComponent ?c }", {"sh": sh("")[1:-1]})
+    return rows.select(_int("f", "focus"), F.regexp_extract("c", "#([A-Za-z]+)ConstraintComponent>$", 1).alias("component"))
+
+
+@query("""SELECT '{"r":{"type":"uri","value":"http://example.org/region/' || r_regionkey || '"},"n":{"type":"literal","value":"' || r_name || '"}}' AS value FROM region""")
+def results_json(spark, sf):
+    from shapeloom.operators import sparql
+    from shapeloom.sources.results import json_rows
+
+    return json_rows(sparql.select(tables(spark, sf), "SELECT ?r ?n { ?r ex:rname ?n }", {"ex": EX}))
+
+
+@query("SELECT 'nations' AS g, n_nationkey AS s FROM nation UNION ALL SELECT 'regions', r_regionkey FROM region")
+def named_graph(spark, sf):
+    from shapeloom.operators import sparql
+    from shapeloom.sources.triples import QuadTable
+
+    g = tables(spark, sf)
+    quads = None
+    for name, pred in (("nations", "nname"), ("regions", "rname")):
+        rows = g.match(p=p(pred)).select(F.lit(p(name)).alias("g"), "s", F.lit(p("name")).alias("p"), "o")
+        quads = rows if quads is None else quads.unionByName(rows)
+    table = QuadTable(quads)
+    rows = sparql.select(table.graph(None), "SELECT ?g ?s { GRAPH ?g { ?s ex:name ?n } }", {"ex": EX}, graphs=table.graphs())
+    return rows.select(key("g").alias("g"), _int("s", "s"))
+
+
+@query("SELECT o_orderkey AS o FROM orders WHERE o_custkey = 7")
+def pattern_scan(spark, sf):
+    """A constant object becomes a condition on the key column of the scan."""
+    return tables(spark, sf).match(p=p("custkey"), o=f"<{EX}customer/7>").select(_int("s", "o"))
+
+
+@query("SELECT o_orderkey AS o, CASE WHEN o_orderpriority = '1-URGENT' THEN 'now' ELSE 'later' END AS t FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
+def sparql_exists_expression(spark, sf):
+    from shapeloom.operators import sparql
+
+    rows = sparql.select(tables(spark, sf), "SELECT ?o ?t { ?o ex:status ?s BIND (IF(EXISTS { ?o ex:priority '1-URGENT' }, 'now', 'later') AS ?t) FILTER (?s != 'F' || NOT EXISTS { ?o ex:priority '1-URGENT' }) }", {"ex": EX})
+    return rows.select(_int("o", "o"), lex(F.col("t")).alias("t"))
+
+
+@query("SELECT n_nationkey AS n, count(c_custkey) AS k FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def sparql_lateral(spark, sf):
+    """A count for every nation, of those without customers as well."""
+    from shapeloom.operators import sparql
+
+    rows = sparql.select(tables(spark, sf), "SELECT ?n ?k { ?n ex:region ?r LATERAL { SELECT ?n (COUNT(?c) AS ?k) { ?c ex:cnation ?n } } }", {"ex": EX})
+    return rows.select(_int("n", "n"), lex(F.col("k")).cast("bigint").alias("k"))
+
+
+@query("SELECT 'region' AS p, n_regionkey::VARCHAR AS o FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'nname', n_name FROM nation WHERE n_nationkey = 3")
+def sparql_describe(spark, sf):
+    from shapeloom.operators import sparql
+
+    g = tables(spark, sf)
+    small = TripleTable(g.match(p=p("region")).unionByName(g.match(p=p("nname"))))
+    rows = sparql.describe(small, f"DESCRIBE <{EX}nation/3>")
+    return rows.select(key("p").alias("p"), F.when(F.col("o").startswith("<"), key("o")).otherwise(lex(F.col("o"))).alias("o"))
+
+
+@query("SELECT DISTINCT c_nationkey AS focus FROM customer WHERE c_acctbal > 9000")
+def target_exists(spark, sf):
+    """Nodes that a path leads from to a node that satisfies a shape."""
+    g = tables(spark, sf)
+    t = Target("exists", "", path=Seq((Inv(P("cnation")), P("acctbal"))), shape=Test("minExclusive", num(9000)))
+    small = TripleTable(g.match(p=p("cnation")).unionByName(g.match(p=p("acctbal"))))
+    return select(small, t).select(_int("v", "focus"))
+
+
+@query("SELECT p_partkey AS part, replace(p_type, ' ', '_') AS class FROM part UNION ALL SELECT p_partkey, split_part(p_type, ' ', 1) FROM part")
+def class_index(spark, sf):
+    from shapeloom.operators.shapes import classes
+
+    return classes(tables(spark, sf)).select(_int("v", "part"), key("class").alias("class"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import shapeloom.sparql_queries  # noqa: F401  adds its queries to the catalogue
 
