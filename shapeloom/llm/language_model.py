@@ -17,8 +17,8 @@ their last bytes, and share a slot's probability by add-one counts, as in the ba
 3. Scores: a pass over all texts in sparse numpy batches.  The FREQUENT most frequent tokens
    (bounded by that number) are broadcast with their counts; all others are looked up by a join.
 
-The counts, which grow with the corpus, are complete.  The number of feature rows is one for about
-ROW_TOKENS training tokens, up to MAX_ROWS, which bounds the broadcast weights.
+The counts, which grow with the corpus, are complete.  The number of feature rows grows in proportion to the
+training tokens, one for ROW_TOKENS of them, up to MAX_ROWS, which bounds the broadcast weights.
 
 Defined results: a null or empty text has one token, its end; without training rows all counts
 are 0; repeated rows and equal doc_ids are scored row by row; an empty table gives no rows.
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +38,21 @@ CLASSES = SLOTS = 32
 OWN = 512
 SHARED = CLASSES * SLOTS - OWN
 FREQUENT = 1 << 18
-ROW_TOKENS = 64
-MIN_ROWS, MAX_ROWS = 1 << 10, 1 << 16
+ROW_TOKENS = 1024
+MIN_ROWS, MAX_ROWS = 1 << 10, 1 << 17
 BACK = 3
 ROUNDS = 6
 STEP = 0.35
 #: Added to a row's squared gradients, in tokens: rows that few tokens touch move little.
 PRIOR = 16.0
 #: Gradients are multiples of 1 / GRAIN; sums of a batch are exact in 32-bit floats.
-GRAIN = 1024
+GRAIN = 512
 BATCH = 8192
 #: Training tokens to a task and round, about; the number of tasks follows the input.
 SHARD_TOKENS = 4_000_000
 BLOCK_ROWS = 1024
 SALTS = 16
-#: Distinct tokens that a counting task holds before it sends them on.
+#: Words of blocks that a counting task holds before it adds them up, and distinct ones before it sends them on.
 HELD_TOKENS = 500_000
 #: The end of a text as a token; no word holds a space.
 END = " "
@@ -91,28 +92,25 @@ class Tokens:
 
 def _count(batches):
     """Rows (text) -> (token, tail, n), every distinct token once for each time that a task's table is full."""
-    held: dict[str, int] = {}
-    tails: dict[str, int] = {}
+    held, size = [], 0
 
-    def out():
-        rows = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([tails[w] for w in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["token", "tail", "n"])
-        held.clear()
-        tails.clear()
-        return rows
+    def fold() -> pa.Table:
+        return pa.concat_tables(held).group_by(["token", "tail"]).aggregate([("n", "sum")]).rename_columns(["token", "tail", "n"])
 
     for batch in batches:
         for block in blocks(batch.column(0)):
             t = Tokens(block)
-            for word, tail, n in zip(t.words.to_pylist(), t.tail.tolist(), np.bincount(t.code, minlength=len(t.words)).tolist(), strict=True):
-                old = held.get(word)
-                if old is None:
-                    held[word], tails[word] = n, tail
-                else:
-                    held[word] = old + n
-            if len(held) > HELD_TOKENS:
-                yield out()
+            n = np.bincount(t.code, minlength=len(t.words))
+            held.append(pa.table([t.words, pa.array(t.tail.astype(np.int32)), pa.array(n.astype(np.int64))], ["token", "tail", "n"]))
+            size += len(t.words)
+        if size > 2 * HELD_TOKENS:
+            held = [fold()]
+            size = len(held[0])
+            if size > HELD_TOKENS:
+                yield from held[0].combine_chunks().to_batches(max_chunksize=50_000)
+                held, size = [], 0
     if held:
-        yield out()
+        yield from fold().combine_chunks().to_batches(max_chunksize=50_000)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -137,7 +135,7 @@ class Vocabulary:
             least, seen = k, seen + m
         rows = counts.where(step >= least).select("token", "tail", "n").collect() if least is not None else []  # FREQUENT at most
         rows.sort(key=lambda r: (-r["n"], r["token"]))
-        self.index = {r["token"]: k for k, r in enumerate(rows)}
+        self.known = pa.array([r["token"] for r in rows], pa.string())
         self.count = np.array([*(r["n"] for r in rows), -1], np.int64)
         self.leaf = np.array([*(k if k < OWN else OWN + r["tail"] for k, r in enumerate(rows)), 0], np.int64)
         sums, types = np.zeros(SHARED), np.zeros(SHARED)
@@ -151,8 +149,7 @@ class Vocabulary:
 
     def look_up(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """(count or -1 where not among the frequent, leaf) of each of the block's words."""
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in t.words.to_pylist()), np.int64, len(t.words))
+        at = np.asarray(pc.fill_null(pc.index_in(t.words, value_set=self.known), -1)).astype(np.int64)
         return self.count[at], np.where(at >= 0, self.leaf[at], OWN + t.tail)
 
 
@@ -174,13 +171,13 @@ def contexts(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def rows_for(tokens: int) -> int:
-    """Rows of each kind of feature for so many training tokens: a power of two."""
-    return int(min(MAX_ROWS, max(MIN_ROWS, 1 << max(0, tokens // ROW_TOKENS).bit_length())))
+    """Rows of each kind of feature for so many training tokens."""
+    return int(min(MAX_ROWS, max(MIN_ROWS, tokens // ROW_TOKENS)))
 
 
 def hashed(x: np.ndarray, rows: int) -> np.ndarray:
     """Row numbers; 16 bits wide where that is enough, so that they are sorted by radix."""
-    return ((x * _MULT[0]) >> np.uint64(64 - rows.bit_length() + 1)).astype(np.uint16 if rows <= 1 << 16 else np.uint32)
+    return (((x * _MULT[0]) >> np.uint64(32)) * np.uint64(rows) >> np.uint64(32)).astype(np.uint16 if rows <= 1 << 16 else np.uint32)
 
 
 class Model:
@@ -223,8 +220,8 @@ class Model:
             total = total + own - np.log(z.sum(axis=1))
         return total / np.log(10)
 
-    def errors(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
-        """(part, rows, gradients): of each token, rounded to the grain."""
+    def errors(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+        """Gradients of the tokens' class and slot logits, rounded to the grain, and the rows that they are for."""
         cls, slot = leaf // SLOTS, leaf % SLOTS
         n, rows = np.arange(len(leaf)), self.rows(words, cls)
         e1, e2 = self.logits(rows, cls)
@@ -233,8 +230,7 @@ class Model:
             e *= GRAIN / e.sum(axis=1, keepdims=True)
             e[n, outcome] -= GRAIN
             np.rint(e, out=e)
-        skip = [("skip", r, e1) for r in rows["skip"]]
-        return [*skip, ("pair", rows["pair"], e1), ("near", rows["near"], e2), ("far", rows["far"], e2), ("b1", np.zeros(len(leaf), np.uint16), e1), ("b2", cls.astype(np.uint16), e2)]
+        return e1, e2, rows
 
 
 class Gradient:
@@ -244,7 +240,25 @@ class Gradient:
         self.model, self.sums = model, Model(model.n_rows, np.float64)
 
     def add(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> None:
-        for part, rows, e in self.model.errors(words, leaf):
+        e1, e2, rows = self.model.errors(words, leaf)
+        cls = leaf // SLOTS
+        # A word is among the BACK before each of the next tokens: where rows agree, its gradients are summed first.
+        one, *others = rows["skip"]
+        follow = e1.copy()
+        for k, other in enumerate(others, 1):
+            same = np.zeros(len(other), bool)
+            same[k:] = other[k:] == one[:-k]
+            follow[:-k] += np.where(same[k:, None], e1[k:], 0)
+            self._rows("skip", other[~same], e1[~same])
+        self._rows("skip", one, follow)
+        self._rows("pair", rows["pair"], e1)
+        self._rows("near", rows["near"], e2)
+        self._rows("far", rows["far"], e2)
+        self.sums.b1[0] += e1.sum(axis=0)
+        self.sums.b2 += np.eye(CLASSES, dtype=np.float32)[cls].T @ e2
+
+    def _rows(self, part: str, rows: np.ndarray, e: np.ndarray) -> None:
+        if len(rows):
             order = np.argsort(rows, kind="stable")
             r = rows[order]
             first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))

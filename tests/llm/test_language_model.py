@@ -52,7 +52,7 @@ def test_odd_rows(spark):
 def test_better_than_the_base_on_held_out_texts(spark):
     sf = "/root/testdata/sf0.1"
     got = [r for r in queries.op8_language_model(spark, sf).collect() if r.held_out]
-    assert sum(r.score for r in got) > 0.94 * sum(r.base_score for r in got)
+    assert sum(r.score for r in got) > 0.97 * sum(r.base_score for r in got)
     assert sum(r.score > r.base_score for r in got) > 0.9 * len(got)
 
 
@@ -101,7 +101,7 @@ class Brute:
     def features(self, words, k, cls):
         one, two, three = (self.hash[words[k - j]] if k >= j else int(lm.BEGIN) for j in (1, 2, 3))
         m = [int(x) for x in lm._MULT]
-        row = lambda x: (x * m[0] % 2**64) >> (64 - self.n_rows.bit_length() + 1)
+        row = lambda x: ((x * m[0] % 2**64) >> 32) * self.n_rows >> 32
         c = cls * int(lm._CLASS) % 2**64
         first = [("b1", 0), ("pair", row((one * m[2] + two * m[3]) % 2**64)), *(("skip", row(x)) for x in (one, two, three))]
         return first, [("b2", cls), ("near", row(one ^ c)), ("far", row((two ^ c) * m[1] % 2**64))]
@@ -169,4 +169,4 @@ def test_probabilities_sum_to_one():
 
 
 def test_more_text_gives_more_rows():
-    assert [lm.rows_for(n) for n in (0, 10, 64_000, 640_000, 10**7, 10**12)] == [lm.MIN_ROWS, lm.MIN_ROWS, 1 << 10, 1 << 14, lm.MAX_ROWS, lm.MAX_ROWS]
+    assert [lm.rows_for(n) for n in (0, 10, 10**6, 10**7, 5 * 10**7, 10**12)] == [lm.MIN_ROWS, lm.MIN_ROWS, lm.MIN_ROWS, 9765, 48828, lm.MAX_ROWS]
