@@ -47,6 +47,8 @@ STEP = 0.35
 PRIOR = 16.0
 #: Gradients are multiples of 1 / GRAIN; sums of a batch are exact in 32-bit floats.
 GRAIN = 512
+# A round moves a weight by STEP times the root of a row's length at most: products of e to the weights stay within 32-bit floats.
+assert ROUNDS * STEP * max(CLASSES, SLOTS) ** 0.5 * (BACK + 2) < 80
 BATCH = 8192
 #: Training tokens to a task and round, about; the number of tasks follows the input.
 SHARD_TOKENS = 4_000_000
@@ -95,7 +97,8 @@ def _count(batches):
     held, size = [], 0
 
     def fold() -> pa.Table:
-        return pa.concat_tables(held).group_by(["token", "tail"]).aggregate([("n", "sum")]).rename_columns(["token", "tail", "n"])
+        # One thread has one hash table; a token has one tail.
+        return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("tail", "min"), ("n", "sum")]).rename_columns(["token", "tail", "n"])
 
     for batch in batches:
         for block in blocks(batch.column(0)):
@@ -106,6 +109,7 @@ def _count(batches):
         if size > 2 * HELD_TOKENS:
             held = [fold()]
             size = len(held[0])
+            pa.default_memory_pool().release_unused()  # workers are used again, by stages that need the room
             if size > HELD_TOKENS:
                 yield from held[0].combine_chunks().to_batches(max_chunksize=50_000)
                 held, size = [], 0
@@ -135,9 +139,7 @@ class Vocabulary:
             least, seen = k, seen + m
         rows = counts.where(step >= least).select("token", "tail", "n").collect() if least is not None else []  # FREQUENT at most
         rows.sort(key=lambda r: (-r["n"], r["token"]))
-        self.known = pa.array([r["token"] for r in rows], pa.string())
-        self.count = np.array([*(r["n"] for r in rows), -1], np.int64)
-        self.leaf = np.array([*(k if k < OWN else OWN + r["tail"] for k, r in enumerate(rows)), 0], np.int64)
+        self.learn(pa.array([r["token"] for r in rows], pa.string()), np.array([r["n"] for r in rows], np.int64), np.array([r["tail"] for r in rows], np.int64))
         sums, types = np.zeros(SHARED), np.zeros(SHARED)
         for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect():  # SHARED rows
             sums[r["tail"]], types[r["tail"]] = r["n"], r["m"]
@@ -147,9 +149,30 @@ class Vocabulary:
         self.log_slot = np.concatenate([np.zeros(OWN), np.log10(sums + types + 1)])
         self.log_all = float(np.log10(self.tokens + self.types + 1))
 
+    def learn(self, known: pa.Array, count: np.ndarray, tail: np.ndarray) -> None:
+        """Keep the frequent tokens, given in descending order of their counts, in ascending order of their hashes."""
+        h = np.concatenate([np.zeros(0, np.uint64), *(range_hash(prefix_hash(b.buf), b.off[:-1], b.off[1:]) for b in blocks(known))])
+        order = np.argsort(h, kind="stable")
+        leaf = np.where(np.arange(len(h)) < OWN, np.arange(len(h)), OWN + tail)
+        self.known, self.hash = known.take(pa.array(order)), h[order]
+        self.count, self.leaf = np.append(count[order], -1), np.append(leaf[order], 0)
+
     def look_up(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """(count or -1 where not among the frequent, leaf) of each of the block's words."""
-        at = np.asarray(pc.fill_null(pc.index_in(t.words, value_set=self.known), -1)).astype(np.int64)
+        """(count or -1 where not among the frequent, leaf) of each of the block's words.
+
+        Hashes name the only place where a word may stand, its bytes decide.  Arrow's own look-up would hash all
+        known words again for every block; it is asked only for words whose hash is another word's.
+        """
+        at = np.full(len(t.words), -1, np.int64)
+        if len(self.hash):
+            place = np.minimum(np.searchsorted(self.hash, t.hash), len(self.hash) - 1)
+            maybe = np.flatnonzero(self.hash[place] == t.hash)
+            words = t.words.take(pa.array(maybe))
+            equal = np.asarray(pc.equal(words, self.known.take(pa.array(place[maybe]))), bool)
+            at[maybe[equal]] = place[maybe[equal]]
+            if not equal.all():
+                others = pc.index_in(words.filter(pa.array(~equal)), value_set=self.known)
+                at[maybe[~equal]] = np.asarray(pc.fill_null(others, -1))
         return self.count[at], np.where(at >= 0, self.leaf[at], OWN + t.tail)
 
 
@@ -192,77 +215,103 @@ class Model:
     def parts(self) -> dict[str, np.ndarray]:
         return {k: getattr(self, k) for k in ("skip", "pair", "near", "far", "b1", "b2")}
 
-    def rows(self, words: tuple[np.ndarray, ...], cls: np.ndarray) -> dict[str, np.ndarray]:
-        """Row numbers of a stretch of tokens; ``skip`` has one array for each of the BACK words."""
+    def log_prob(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> np.ndarray:
+        return Factors(self).log_prob(words, leaf)
+
+
+class Factors:
+    """e to the weights of a model: probabilities are products of rows, so that no token takes an exponential."""
+
+    def __init__(self, model: Model):
+        self.n_rows = model.n_rows
+        for k, w in model.parts().items():
+            setattr(self, k, np.exp(w))
+
+    def rows(self, words: tuple[np.ndarray, ...], cls: np.ndarray) -> dict:
+        """Row numbers of a stretch of tokens.
+
+        ``skip`` is of the word before each.  The same row is that of the second word before the next token, and so on;
+        ``odd`` lists for each further word the tokens for which it is not, and their rows.
+        """
         one, two, _ = words
         c, n = cls.astype(np.uint64) * _CLASS, self.n_rows
-        skip = np.stack([hashed(w, n) for w in words])
-        return {"skip": skip, "pair": hashed(one * _MULT[2] + two * _MULT[3], n), "near": hashed(one ^ c, n), "far": hashed((two ^ c) * _MULT[1], n)}
-
-    def logits(self, rows, cls) -> tuple[np.ndarray, np.ndarray]:
-        z1 = self.b1 + np.take(self.pair, rows["pair"], axis=0)
-        for r in rows["skip"]:
-            z1 += np.take(self.skip, r, axis=0)
+        odd = []
+        for k, w in enumerate(words[1:], 1):
+            at = np.concatenate([np.arange(min(k, len(w))), k + np.flatnonzero(w[k:] != one[:-k])])
+            odd.append((at, hashed(w[at], n)))
+        return {"skip": hashed(one, n), "odd": odd, "pair": hashed(one * _MULT[2] + two * _MULT[3], n), "near": hashed(one ^ c, n), "far": hashed((two ^ c) * _MULT[1], n)}
+
+    def odds(self, rows: dict, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token: the classes, and the slots of its class, in proportion to their probabilities."""
+        z1 = np.take(self.pair, rows["pair"], axis=0)
+        z1 *= self.b1
+        skip = np.take(self.skip, rows["skip"], axis=0)
+        z1 *= skip
+        for k, (at, r) in enumerate(rows["odd"], 1):
+            shifted = np.empty_like(skip)
+            shifted[k:] = skip[:-k]
+            shifted[at] = np.take(self.skip, r, axis=0)
+            z1 *= shifted
         z2 = np.take(self.b2, cls, axis=0)
-        z2 += np.take(self.near, rows["near"], axis=0)
-        z2 += np.take(self.far, rows["far"], axis=0)
-        for z in (z1, z2):
-            z -= z.max(axis=1, keepdims=True)
+        z2 *= np.take(self.near, rows["near"], axis=0)
+        z2 *= np.take(self.far, rows["far"], axis=0)
         return z1, z2
 
     def log_prob(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> np.ndarray:
         """log10 p(class) p(slot | class) of each token."""
         cls, slot = leaf // SLOTS, leaf % SLOTS
         total = 0.0
-        for z, outcome in zip(self.logits(self.rows(words, cls), cls), (cls, slot), strict=True):
-            own = z[np.arange(len(z)), outcome].astype(np.float64)
-            np.exp(z, out=z)
-            total = total + own - np.log(z.sum(axis=1))
-        return total / np.log(10)
+        for z, outcome in zip(self.odds(self.rows(words, cls), cls), (cls, slot), strict=True):
+            own = z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + outcome]
+            total = total + np.log10(own.astype(np.float64)) - np.log10(sums_of(z).astype(np.float64))
+        return total
 
     def errors(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
         """Gradients of the tokens' class and slot logits, rounded to the grain, and the rows that they are for."""
         cls, slot = leaf // SLOTS, leaf % SLOTS
-        n, rows = np.arange(len(leaf)), self.rows(words, cls)
-        e1, e2 = self.logits(rows, cls)
+        rows = self.rows(words, cls)
+        e1, e2 = self.odds(rows, cls)
         for e, outcome in ((e1, cls), (e2, slot)):
-            np.exp(e, out=e)
-            e *= GRAIN / e.sum(axis=1, keepdims=True)
-            e[n, outcome] -= GRAIN
+            e *= (GRAIN / sums_of(e))[:, None]
+            e.reshape(-1)[np.arange(0, e.size, e.shape[1]) + outcome] -= GRAIN
             np.rint(e, out=e)
         return e1, e2, rows
 
 
+def sums_of(z: np.ndarray) -> np.ndarray:
+    """Sum of each row, whatever rows stand beside it."""
+    return np.vecdot(z, np.ones(z.shape[1], z.dtype))
+
+
 class Gradient:
     """Sums of the gradients of tokens in units of the grain; all sums are whole numbers."""
 
-    def __init__(self, model: Model):
-        self.model, self.sums = model, Model(model.n_rows, np.float64)
+    def __init__(self, model: Model | Factors):
+        self.factors = model if isinstance(model, Factors) else Factors(model)
+        self.sums = Model(model.n_rows, np.float64)
 
     def add(self, words: tuple[np.ndarray, ...], leaf: np.ndarray) -> None:
-        e1, e2, rows = self.model.errors(words, leaf)
-        cls = leaf // SLOTS
+        e1, e2, rows = self.factors.errors(words, leaf)
         # A word is among the BACK before each of the next tokens: where rows agree, its gradients are summed first.
-        one, *others = rows["skip"]
         follow = e1.copy()
-        for k, other in enumerate(others, 1):
-            same = np.zeros(len(other), bool)
-            same[k:] = other[k:] == one[:-k]
-            follow[:-k] += np.where(same[k:, None], e1[k:], 0)
-            self._rows("skip", other[~same], e1[~same])
-        self._rows("skip", one, follow)
+        for k, (at, r) in enumerate(rows["odd"], 1):
+            follow[:-k] += e1[k:]
+            inside = at[at >= k]
+            follow[inside - k] -= e1[inside]
+            self._rows("skip", r, e1[at])
+        self._rows("skip", rows["skip"], follow)
         self._rows("pair", rows["pair"], e1)
-        self._rows("near", rows["near"], e2)
-        self._rows("far", rows["far"], e2)
+        wide = e2.astype(np.float64)
+        self._rows("near", rows["near"], wide)
+        self._rows("far", rows["far"], wide)
+        self._rows("b2", leaf // SLOTS, wide)
         self.sums.b1[0] += e1.sum(axis=0)
-        self.sums.b2 += np.eye(CLASSES, dtype=np.float32)[cls].T @ e2
 
     def _rows(self, part: str, rows: np.ndarray, e: np.ndarray) -> None:
-        if len(rows):
-            order = np.argsort(rows, kind="stable")
-            r = rows[order]
-            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            getattr(self.sums, part)[r[first]] += np.add.reduceat(np.take(e, order, axis=0), first, axis=0)
+        """Add each of ``e`` to its row; two sums at a time, as a complex number."""
+        sums, e = getattr(self.sums, part).view(np.complex128), np.ascontiguousarray(e, np.float64).view(np.complex128)
+        at = np.add.outer(rows.astype(np.intp) * sums.shape[1], np.arange(sums.shape[1]))
+        np.add.at(sums.reshape(-1), at.reshape(-1), e.reshape(-1))
 
 
 class Descent:
@@ -325,7 +374,7 @@ def train(docs: DataFrame, vocabulary, tokens: int) -> Model:
     """Fit over all rows of ``docs`` (doc_id, text), each in one round; ``vocabulary`` is a broadcast Vocabulary."""
     spark, fit = docs.sparkSession, Descent(rows_for(tokens))
     for k in range(ROUNDS if tokens else 0):
-        model = spark.sparkContext.broadcast(fit.model)
+        model = spark.sparkContext.broadcast(Factors(fit.model))
         mine = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).select("text")
         partial = mine.coalesce(max(6, tokens // ROUNDS // SHARD_TOKENS)).mapInArrow(_gradients(vocabulary, model), _PIECE)
         salted = partial.repartition("part", "block", F.pmod(F.xxhash64("sums"), F.lit(SALTS))).mapInArrow(_add, _PIECE) if tokens // ROUNDS // SHARD_TOKENS > SALTS else partial
@@ -356,11 +405,11 @@ def _score(vocabulary, model):
             for block in blocks(batch.column(2)):
                 t = Tokens(block)
                 first, per_word, leaf_of = t.first, *vocab.look_up(t)
-                count, leaf = per_word[t.code], leaf_of[t.code]
+                leaf = leaf_of[t.code]
                 words = contexts(t.hash[t.code], first)
                 p = np.concatenate([lm.log_prob(tuple(w[a : a + BATCH] for w in words), leaf[a : a + BATCH]) for a in range(0, len(leaf), BATCH)])
-                known = count >= 0
-                log_count = np.log10(np.where(known, count, 0) + 1.0)
+                known = (per_word >= 0)[t.code]
+                log_count = np.log10(np.maximum(per_word, 0) + 1.0)[t.code]
                 of_text = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731, B023  every text has a token
                 got["n_tokens"].append(np.diff(first))
                 got["n_frequent"].append(of_text(known.astype(np.int64)))
@@ -393,7 +442,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     release(spark)
     vocab = Vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(vocab)
-    model = spark.sparkContext.broadcast(train(training, vocabulary, vocab.tokens))
+    model = spark.sparkContext.broadcast(Factors(train(training, vocabulary, vocab.tokens)))
     release(spark)
     scored = materialize(docs.mapInArrow(_score(vocabulary, model), _SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.token", "x.n")

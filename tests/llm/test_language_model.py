@@ -170,3 +170,59 @@ def test_probabilities_sum_to_one():
 
 def test_more_text_gives_more_rows():
     assert [lm.rows_for(n) for n in (0, 10, 10**6, 10**7, 5 * 10**7, 10**12)] == [lm.MIN_ROWS, lm.MIN_ROWS, lm.MIN_ROWS, 9765, 48828, lm.MAX_ROWS]
+
+
+def vocabulary(words):
+    (t,) = (lm.Tokens(b) for b in blocks(pa.array([" ".join(words)])))
+    tail = dict(zip(t.words.to_pylist(), t.tail.tolist()))
+    v = object.__new__(lm.Vocabulary)
+    v.learn(pa.array(words, pa.string()), np.arange(len(words), 0, -1), np.array([tail[w] for w in words], np.int64))
+    return v, tail
+
+
+def test_looking_up_costs_the_words_of_the_block():
+    from time import process_time
+
+    words = [f"w{k}" for k in range(100_000)]
+    v, tail = vocabulary(words)
+    t = lm.Tokens(next(blocks(pa.array(["w7 w99999 new w600"]))))
+    count, leaf = v.look_up(t)
+    assert count.tolist() == [99_993, 1, -1, 99_400, -1]
+    assert leaf.tolist()[:2] == [7, lm.OWN + tail["w99999"]] and leaf[3] == lm.OWN + tail["w600"]
+    began = process_time()
+    for _ in range(3):
+        pa.compute.index_in(t.words, value_set=pa.array(words))  # hashes all known words
+    three = process_time() - began
+    began = process_time()
+    for _ in range(30):
+        v.look_up(t)
+    assert process_time() - began < three
+
+
+def test_looking_up_compares_bytes():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for known in ([word, "x"], ["x", other], [word, other], [other, word, "x"]):
+        v, _ = vocabulary(known)
+        t = lm.Tokens(next(blocks(pa.array([f"{word} {other} x y"]))))
+        assert t.hash[0] == t.hash[1]
+        assert v.look_up(t)[0].tolist() == [len(known) - known.index(w) if w in known else -1 for w in (word, other, "x", "y", lm.END)]
+
+
+def test_gradients_do_not_depend_on_the_stretches():
+    (block,) = blocks(pa.array(["a b a a c " * 40, "", "b", "c a", "d e f g " * 30]))
+    t, rng = lm.Tokens(block), np.random.default_rng(5)
+    words, leaf = lm.contexts(t.hash[t.code], t.first), rng.integers(0, lm.CLASSES * lm.SLOTS, len(t.code))
+    model = lm.Model(1 << 10)
+    for w in model.parts().values():
+        w[:] = rng.normal(0, 3, w.shape)
+    want = None
+    for size in (len(leaf), 1, 2, 7):
+        g = lm.Gradient(model)
+        for a in range(0, len(leaf), size):
+            g.add(tuple(w[a : a + size] for w in words), leaf[a : a + size])
+        got = np.concatenate([w.ravel() for w in g.sums.parts().values()])
+        assert want is None or (got == want).all()
+        want = got
