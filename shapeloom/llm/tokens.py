@@ -40,6 +40,9 @@ END_ID = 2
 PIECE_BYTES = 2 << 20
 #: Distinct words whose ids a Python worker keeps; when it is full, words that came in one block only go.
 CACHE_WORDS = 750_000
+#: New words that the tokenizer gets as one text, and what stands between them.
+JOINED_WORDS = 1000
+SEPARATOR = "|"
 #: Text bytes in a shard, about; a shard is a range of doc_id, a task and a file.
 SHARD_BYTES = 128 << 20
 #: Shards whose sums are added up by one task when documents are read.
@@ -128,6 +131,8 @@ class Encoder:
         self.by_word = split_is_safe(spec)
         self.by_unit = self.by_word and cuts_letters(spec)
         self.tokenizer = Tokenizer.from_file(path)
+        alone = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = alone[0] if self.by_word and len(alone) == 1 else -1
         self.forget()
 
     def forget(self) -> None:
@@ -151,9 +156,27 @@ class Encoder:
         grow = lambda x: np.concatenate([x, np.zeros(1 << 12, np.int64)])
         self.starts, self.lengths, self.blocks = grow(ends - long), grow(long), grow(np.zeros(len(keep), np.int64))
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words without SEPARATOR, and how many each has; None if one of them has the separator's id."""
+        joined = [f" {SEPARATOR} ".join(words[k : k + JOINED_WORDS]) for k in range(0, len(words), JOINED_WORDS)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array([*x, self.separator], np.uint32) for x in self._ids(joined))])
+        mark = ids == self.separator
+        cuts = np.flatnonzero(mark)
+        if len(cuts) != len(words):
+            return None
+        return ids[~mark], np.diff(cuts, prepend=-1) - 1
+
     def _add(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        n, base = np.array([len(x) for x in ids], np.int64), len(self.index)
+        apart = np.array([self.separator < 0 or SEPARATOR in x for x in new], bool)
+        found = self._together([x for x, a in zip(new, apart.tolist(), strict=True) if not a])
+        if found is None:
+            apart[:], found = True, (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        others = self._ids([x for x, a in zip(new, apart.tolist(), strict=True) if a])
+        n, base = np.concatenate([found[1], np.array([len(x) for x in others], np.int64)]), len(self.index)
+        place = base + np.argsort(apart, kind="stable")
         total = int(n.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -161,9 +184,9 @@ class Encoder:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
             self.blocks = np.concatenate([self.blocks, np.zeros_like(self.blocks)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.starts[base : base + len(new)] = self.used + np.cumsum(n) - n
-        self.lengths[base : base + len(new)] = n
+        self.flat[self.used : self.used + total] = np.concatenate([found[0], np.fromiter(chain.from_iterable(others), np.uint32)])
+        self.starts[place] = self.used + np.cumsum(n) - n
+        self.lengths[place] = n
         self.used += total
         self.index.update(zip(new, range(base, base + len(new)), strict=True))
 
@@ -179,7 +202,7 @@ class Encoder:
             lists = pc.ascii_split_whitespace(texts)
             flat, per_text = lists.flatten(), np.diff(np.asarray(lists.offsets))
         coded = flat.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
         if len(self.index) + len(words) > CACHE_WORDS:
             self._purge()
         own = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))

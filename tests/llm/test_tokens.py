@@ -88,3 +88,26 @@ def test_files_are_in_ascending_order(spark, tmp_path, monkeypatch):
     for r in sorted(tokens.read(spark, path).collect(), key=lambda r: (r.shard, r.row)):
         assert r.start == start and len(r.ids) == r.n_tokens
         start += r.n_tokens
+
+
+def test_new_words_are_tokenized_together():
+    import pyarrow as pa
+
+    texts = ["a | b || c| <|endoftext|> x|y é| don't ̸ q̸ the=1", "|", "", *(f"w{k} zq{k * 7919}" for k in range(3000))]
+    enc = tokens.Encoder(PATH)
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    class Counting:
+        given = 0
+
+        def encode_batch_fast(self, batch, **options):
+            self.given += len(batch)
+            return inner.encode_batch_fast(batch, **options)
+
+    inner, enc.tokenizer = enc.tokenizer, Counting()
+    for separator in (enc.separator, want[3][0], -1):  # the second is an id that words have
+        alone, enc.separator, enc.tokenizer.given = enc.separator, separator, 0
+        enc.forget()
+        ids, n = enc.encode(pa.array(texts, pa.string()))
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [x for y in want for x in y]
+        assert enc.tokenizer.given < 100 or separator != alone
