@@ -68,3 +68,10 @@ def test_unbound_variables_need_no_nested_loop(graph):
     rows = sparql.select(graph, "SELECT ?s ?q ?x { { ?s ex:n ?n OPTIONAL { ?s ex:q ?q } } { ?s ex:p ?x OPTIONAL { ?s ex:q ?q } } }", P)
     assert sorted(map(tuple, rows.collect()), key=str) == sorted([(E("a"), None, E("b")), (E("a"), None, E("c")), (E("b"), None, E("c"))], key=str)
     assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relative_iris_need_a_base():
+    with pytest.raises(SparqlError, match="BASE"):
+        parse("SELECT ?x { ?x <p> ?y }", P)
+    assert parse("BASE <http://x/> DESCRIBE <a>", P).template == ["<http://x/a>"]
+    assert parse("DESCRIBE <http://x/a>", P).template == ["<http://x/a>"]
