@@ -44,8 +44,19 @@ GRAM = 40
 HELD_BYTES = 24 << 20
 #: Grams that a counting task holds before it sends them on.
 HELD_GRAMS = 1_000_000
+#: Text bytes whose runs are found at a time: their hashes take a hundred times as much.
+RUN_BYTES = 1 << 18
+#: Rows that a task sends at a time: the JVM holds a batch beside its heap.
+SENT_ROWS = 1 << 14
 HOT = 1 << 11
 
+
+def sent(batch: pa.RecordBatch):
+    """A batch in pieces of SENT_ROWS rows."""
+    for k in range(0, batch.num_rows, SENT_ROWS):
+        yield batch.slice(k, SENT_ROWS)
+
+
 # ---------------------------------------------------------------- runs
 
 
@@ -94,23 +105,23 @@ def _grams(batches):
         return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     for batch in batches:
-        for block in blocks(batch.column(0)):
+        for block in blocks(batch.column(0), RUN_BYTES):
             held.append(runs_of(block.buf, block.off)[3])
             size += len(held[-1])
         if size > HELD_GRAMS:
-            yield fold()
+            yield from sent(fold())
             size = 0
     if held:
-        yield fold()
+        yield from sent(fold())
 
 
 def _runs(batches):
     """Rows (doc_id, text) -> (gram, doc_id, at) of every run; at is start << 8 | windows."""
     for batch in batches:
         docs = np.asarray(batch.column(0))
-        for block in blocks(batch.column(1)):
+        for block in blocks(batch.column(1), RUN_BYTES):
             text, start, n, gram = runs_of(block.buf, block.off)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(docs[block.first + text]), pa.array(start << 8 | n)], ["gram", "doc_id", "at"])
+            yield from sent(pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(docs[block.first + text]), pa.array(start << 8 | n)], ["gram", "doc_id", "at"]))
 
 
 # ---------------------------------------------------------------- equal runs
@@ -139,7 +150,7 @@ class Firsts:
 
 
 def _cut(batches):
-    """Rows (doc_id, text, wanted: list of (gram, at, hot)) -> (gram, doc_id, at, data).
+    """Rows (doc_id, text, gram, at, hot), each document's text (at: null) before its runs -> (gram, doc_id, at, data).
 
     Runs of hot buckets become windows in buckets of their own.  Rows without data are known to be copies.
     """
@@ -155,26 +166,25 @@ def _cut(batches):
         firsts.__init__()
         return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(at), data], schema=_CUT)
 
+    text = b""
     for batch in batches:
-        wanted = batch.column(2)
-        gram, at, hot = (np.asarray(wanted.flatten().field(k)) if k < 2 else wanted.flatten().field(k).to_pylist() for k in range(3))
-        gram, at, x = gram.tolist(), at.tolist(), 0
-        for doc, text, count in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), np.diff(np.asarray(wanted.offsets)).tolist(), strict=True):
-            for k in range(x, x + count):
-                a = at[k]
-                start, n = a >> 8, a & 255
-                if not hot[k]:
-                    firsts.add(gram[k], text[start : start + n - 1 + LENGTH], (doc, a))
-                    continue
-                for s in range(start, start + n):
-                    data = text[s : s + LENGTH]
-                    own = gram[k] ^ xxhash.xxh64_intdigest(data)
-                    firsts.add((own + (1 << 63)) % (1 << 64) - (1 << 63), data, (doc, s << 8 | 1))
-            x += count
-            if firsts.size > HELD_BYTES or len(firsts.copies) > 500_000:
-                yield flush()
+        columns = [c.cast(pa.binary()) if k == 1 else c for k, c in enumerate(batch.columns)]
+        for doc, own_text, gram, a, hot in zip(*(c.to_pylist() for c in columns), strict=True):
+            if a is None:
+                text = own_text
+                if firsts.size > HELD_BYTES or len(firsts.copies) > 500_000:
+                    yield from sent(flush())
+                continue
+            start, n = a >> 8, a & 255
+            if not hot:
+                firsts.add(gram, text[start : start + n - 1 + LENGTH], (doc, a))
+                continue
+            for s in range(start, start + n):
+                data = text[s : s + LENGTH]
+                own = gram ^ xxhash.xxh64_intdigest(data)
+                firsts.add((own + (1 << 63)) % (1 << 64) - (1 << 63), data, (doc, s << 8 | 1))
     if firsts.kinds:
-        yield flush()
+        yield from sent(flush())
 
 
 # ---------------------------------------------------------------- suffixes of buckets with several kinds of runs
@@ -363,8 +373,9 @@ def removable(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shared = materialize(rows.join(repeated, "gram").select("gram", "doc_id", "at", "hot"), "runs")  # a skewed gram is split by Spark
     del rows
     release(spark)
-    wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "at", "hot")).alias("wanted"))  # of one document
-    cut = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut, "gram long, doc_id long, at long, data binary")
+    # Plain rows, each document's text first: lists of runs, and a join with them, take the executors' heap.
+    wanted = docs.select("doc_id", "text").unionByName(shared, allowMissingColumns=True).repartition("doc_id").sortWithinPartitions("doc_id", F.col("at").asc_nulls_first())
+    cut = wanted.select("doc_id", "text", "gram", "at", "hot").mapInArrow(_cut, "gram long, doc_id long, at long, data binary")
     dealt = cut.repartition("gram").sortWithinPartitions("gram")
     pieces = materialize(dealt.mapInArrow(_suffixes, "doc_id long, at long"), "pieces")
     discard(repeated, shared)

@@ -1,11 +1,14 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import repeats, sha
 
 from shapeloom.llm import queries
 from shapeloom.llm import substrings as op
+from shapeloom.llm.common import powers
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,3 +103,18 @@ def test_repeated_rows_and_empty_tables(spark):
     got = {(r.doc_id, r.n_bytes): r for r in op.digests(op.deduplicate(null)).collect()}
     assert got[None, len(text)].n_removed == 0 and got[5, len(text)].n_removed == len(text) and got[5, len(text) + 1].kept_sha256 in (sha("!"), sha(""))
     assert op.deduplicate(df.limit(0)).count() == 0
+
+
+def test_what_a_worker_holds_and_sends_is_bounded():
+    """Memory grows neither with the texts of a batch nor with the rows that a task has gathered."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 100_000, np.uint8).tobytes().decode() for _ in range(40)]
+    docs = pa.record_batch([pa.array(range(40), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    powers(1 << 20)  # kept by the worker, whatever it reads
+    for task, batch in ((op._grams, docs.select(["text"])), (op._runs, docs)):
+        tracemalloc.start()
+        sent = [b.num_rows for b in task(iter([batch]))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(sent) > 100_000 and max(sent) <= 1 << 14
+        assert most < 40 << 20
